@@ -2,16 +2,16 @@
 
 A text's bytes are cut where a hash over a sliding window of bytes says so, hence copied passages are cut alike wherever
 they stand. Each worker keeps a bounded table of the chunks it has encoded; a chunk that comes again, in any document,
-is looked up. A chunk that is new is put together from the table's shorter units, so that only what was never seen goes
-to the tokenizer. Joins between chunks are exact where a chunk ends on a visible ASCII character and the next begins
-with ASCII white space: no alternative of the tokenizer's pattern spans such a place, and its only look-ahead concerns
-white space. Text without such places is cut anyway (at a character, by the same hash) and each of those joins is
-repaired: the words at the join are encoded again, from the last word that is sure on the left, until a word of the
-re-encoding ends where a word of the right chunk ends; from there on both agree.
+is looked up. A chunk that is new is put together from shorter units of the same table, so that only what was never seen
+goes to the tokenizer. Chunks and units meet at places that no alternative of the tokenizer's pattern can span: visible
+ASCII before ASCII white space (the only look-ahead concerns white space), a letter beside a digit, an ideographic full
+stop before a kana or ideograph. A unit without such places is cut anyway, at a character, by the same hash, and each of
+those joins is repaired: the words at the join are encoded again, from the last word that is sure on the left, until a
+word of the re-encoding begins where a word of the right chunk begins; from there on both agree.
 
 The table stays in the worker: no chunk is shuffled, because a shuffle of a whole corpus costs more than the encoding
-it would save. Its size is bounded by TABLE_BYTES; beyond that the older half is dropped, which costs time and never
-changes a result.
+it would save. Its size is bounded by TABLE_BYTES; beyond that it is emptied, which costs time and never changes a
+result.
 
 Defined results: null and empty texts give an empty list; strings that look like special tokens are ordinary text;
 repeated rows are encoded alike; other columns are carried along.
@@ -23,6 +23,7 @@ import base64
 import os
 from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,33 +36,11 @@ TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 #: Fixed value: the pattern that belongs to the byte-level vocabularies, as their description gives it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: One place in 2**CHUNK_BITS is a cut; text without safe places is cut after HARD_BYTES at the latest.
-CHUNK_BITS, WINDOW, HARD_BYTES = 3, 8, 256
-TABLE_BYTES = 96 << 20
+CHUNK_BITS, WINDOW, HARD_BYTES = 3, 8, 1024
+TABLE_BYTES, ENTRY_BYTES = 128 << 20, 190
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: The tokenizer's white space is the Unicode property; this library's own class has a few control characters more.
 _WORDS = regex.compile(PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s+", r"\p{White_Space}+").replace(r"\S", r"\P{White_Space}"))
-_UNITS = regex.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-
-
-class Table:
-    """Two generations of chunk to ids; when the young one is full it becomes the old one."""
-
-    def __init__(self, most: int = TABLE_BYTES) -> None:
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.used, self.most = 0, most
-
-    def get(self, key: bytes) -> bytes | None:
-        ids = self.young.get(key)
-        if ids is None and (ids := self.old.get(key)) is not None:
-            self.put(key, ids)
-        return ids
-
-    def put(self, key: bytes, ids: bytes) -> None:
-        self.young[key] = ids
-        self.used += len(key) + len(ids) + 160
-        if self.used * 2 > self.most:
-            self.old, self.young, self.used = self.young, {}, 0
 
 
 class ChunkEncoder:
@@ -78,43 +57,60 @@ class ChunkEncoder:
         self.length = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
         for token, rank in ranks.items():
             self.length[rank] = len(token)
-        self.bits, self.hard, self.table = bits, hard, Table(most)
+        self.bits, self.hard, self.most = bits, hard, most
+        self.table: dict[bytes, bytes] = {}
+        self.used, self.seen = 0, bytearray(1 << 22)
+
+    def put(self, key: bytes, ids: bytes) -> None:
+        if self.used > self.most:
+            self.table.clear()
+            self.used = 0
+        self.table[key] = ids
+        self.used += len(key) + len(ids) + ENTRY_BYTES
 
     def direct(self, chunk: bytes) -> bytes:
         return array("H", self.plain.encode_ordinary(chunk.decode())).tobytes()
 
-    def unit(self, chunk: bytes) -> bytes:
-        """Ids of a chunk between safe places, by its units; each unit begins at a safe place too."""
-        ids = self.table.get(chunk)
-        if ids is not None:
-            return ids
-        units = _UNITS.findall(chunk)
-        if len(units) == 1 or not chunk.isascii():
-            ids = self.direct(chunk)
-        else:
-            parts, table = [], self.table
-            for u in units:
-                part = table.get(u)
-                if part is None:
-                    table.put(u, part := self.direct(u))
-                parts.append(part)
-            ids = b"".join(parts)
-        self.table.put(chunk, ids)
+    def single(self, unit: bytes) -> bytes:
+        """Ids of a unit that is not in the table yet."""
+        ids = self.direct(unit) if len(unit) <= self.hard else self.hard_cut(unit)
+        self.put(unit, ids)
         return ids
 
-    def cuts(self, data: bytes) -> tuple[list[int], np.ndarray]:
-        """Safe places where the hash says to cut, and all safe places."""
-        b = np.frombuffer(data, dtype=np.uint8)
-        blank = (b == 32) | ((b >= 9) & (b <= 13))
-        safe = np.flatnonzero(blank[1:] & (b[:-1] > 32) & (b[:-1] < 127)) + 1
-        far = safe[safe >= WINDOW]
-        cut = far[self._hash(b, far, self.bits) == 0]
-        return cut.tolist(), safe
+    def fresh(self, data: bytes, edges: list[int]) -> bytes:
+        """Ids of a chunk that is not in the table yet, by its units."""
+        units = [data[a:z] for a, z in pairwise(edges)]
+        parts = list(map(self.table.get, units))
+        for i, part in enumerate(parts):
+            if part is None:
+                parts[i] = self.single(units[i])
+        ids = parts[0] if len(parts) == 1 else b"".join(parts)
+        if len(parts) > 1:  # most chunks come once; they take room from the second time on
+            chunk = data[edges[0] : edges[-1]]
+            i = hash(chunk) & (len(self.seen) - 1)
+            if self.seen[i]:
+                self.put(chunk, ids)
+            self.seen[i] = 1
+        return ids
+
+    @staticmethod
+    def safe(b: np.ndarray) -> np.ndarray:
+        """Places that no word of the tokenizer spans, whatever stands around them."""
+        x, y = b[:-1], b[1:]
+        blank, seen = (y == 32) | ((y >= 9) & (y <= 13)), (x > 32) & (x < 127)
+        digit, letter = (b >= 48) & (b <= 57), ((b | 32) >= 97) & ((b | 32) <= 122)
+        at = (blank & seen) | (digit[:-1] & letter[1:]) | (letter[:-1] & digit[1:])
+        if len(b) > 4 and (b == 0xE3).any():  # the ideographic full stop before a kana or an ideograph
+            p, q = b[3:-1], b[4:]
+            kana = (p == 0xE3) & (((q == 0x81) & (np.append(b[5:], 0) > 0x80)) | ((q == 0x82) & (np.append(b[5:], 0) > 0xA0)))
+            stop = (b[:-4] == 0xE3) & (b[1:-3] == 0x80) & (b[2:-2] == 0x82) & (kana | ((p == 0xE4) & (q >= 0xB8)) | ((p > 0xE4) & (p < 0xE9)))
+            at[2:-1] |= stop
+        return np.flatnonzero(at) + 1
 
     @staticmethod
     def _hash(b: np.ndarray, places: np.ndarray, bits: int) -> np.ndarray:
-        if not len(places):
-            return np.zeros(0, dtype=np.uint64)
+        if not len(places) or not bits:
+            return np.zeros(len(places), dtype=np.uint64)
         window = np.ndarray(shape=(len(b) - WINDOW + 1,), dtype="<u8", buffer=b, strides=(1,))
         with np.errstate(over="ignore"):
             return (window[places - WINDOW] * _MULTIPLIER) >> np.uint64(64 - bits)
@@ -124,19 +120,17 @@ class ChunkEncoder:
         if not text:
             return b""
         data = text.encode()
-        if len(data) <= 2 * WINDOW:
-            return self.unit(data)
-        cut, safe = self.cuts(data)
-        edges = [0, *cut, len(data)]
-        out = []
-        for a, z in zip(edges[:-1], edges[1:]):
-            if z - a <= self.hard:
-                out.append(self.unit(data[a:z]))
-                continue
-            inner = safe[np.searchsorted(safe, a, "right") : np.searchsorted(safe, z, "left")].tolist()
-            for x, y in zip([a, *inner], [*inner, z]):
-                out.append(self.unit(data[x:y]) if y - x <= self.hard else self.hard_cut(data[x:y]))
-        return b"".join(out)
+        b = np.frombuffer(data, dtype=np.uint8)
+        safe = self.safe(b)
+        safe = safe[safe >= WINDOW]
+        cut = np.flatnonzero(self._hash(b, safe, self.bits) == 0) + 1
+        at = [0, *safe.tolist(), len(data)]
+        edges = [0, *cut.tolist(), len(at) - 1]
+        parts = list(map(self.table.get, [data[at[i] : at[j]] for i, j in pairwise(edges)]))
+        for k, part in enumerate(parts):
+            if part is None:
+                parts[k] = self.fresh(data, at[edges[k] : edges[k + 1] + 1])
+        return b"".join(parts)
 
     def hard_cut(self, data: bytes) -> bytes:
         """Ids of a long chunk without safe places: cut at characters by the hash, joins repaired."""
@@ -159,7 +153,7 @@ class ChunkEncoder:
             word = m.group().encode()
             ids = self.table.get(word)
             if ids is None:
-                self.table.put(word, ids := self.direct(word))
+                self.put(word, ids := self.direct(word))
             parts.append(ids)
         return b"".join(parts)
 
@@ -178,7 +172,7 @@ class ChunkEncoder:
         """Adds the ids of carry + data to ``out`` as far as they are sure; returns the text that is not."""
         text, ids = data.decode(), self.table.get(data)
         if ids is None:
-            self.table.put(data, ids := self.direct(data))
+            self.put(data, ids := self.direct(data))
         starts = [m.start() for m in _WORDS.finditer(text)]
         sure, begin = self._sure(text, starts), 0
         if carry:
