@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["split", "tokens", "mixing"]
+MODULES = ["split", "tokens", "mixing", "lookalike"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
