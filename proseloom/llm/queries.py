@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["split", "tokens", "mixing", "lookalike", "garbled"]
+MODULES = ["level", "lookalike", "split", "garbled", "tokens", "mixing"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
