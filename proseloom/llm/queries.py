@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["level", "lookalike", "split", "garbled", "tokens", "mixing", "language"]
+MODULES = ["level", "lookalike", "pii", "split", "garbled", "tokens", "mixing", "language"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
