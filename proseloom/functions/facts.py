@@ -8,6 +8,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The kinds of facts and their patterns, in the order in which they claim text.
 KINDS = [
@@ -25,7 +26,9 @@ KINDS = [
 ]
 _PATTERNS = [(kind, regex.compile(pattern)) for kind, pattern in KINDS]
 TOKEN = re.compile(r"\[\[F(\d+)\]\]")
-SPAN = "array<struct<kind: string, start: int, end: int, value: string>>"
+# workers import this module without a session, so types are not written as strings
+SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("value", T.StringType())]))
+PROTECTED = T.StructType([T.StructField("text", T.StringType()), T.StructField("values", T.ArrayType(T.StringType()))])
 
 
 def claim(text: str) -> list[tuple[int, int, str]]:
@@ -48,7 +51,7 @@ def protect_str(text: str) -> tuple[str, list[str]]:
     return "".join([*out, text[at:]]), values
 
 
-@F.pandas_udf("text string, values array<string>")
+@F.pandas_udf(PROTECTED)
 def protect(texts: pd.Series) -> pd.DataFrame:
     """The text with placeholders, and the values in their order; null gives null."""
     return pd.DataFrame([protect_str(t) if t is not None else (None, None) for t in texts], columns=["text", "values"])

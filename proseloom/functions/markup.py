@@ -15,6 +15,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset(["script", "style"])
@@ -146,7 +147,7 @@ def shape_of(text: str | None) -> tuple[int, int, int]:
     return sum(n.tag == "table" for n in nodes), links, sum(n.tag == "li" for n in nodes)
 
 
-@F.pandas_udf("tables int, links int, list_items int")
+@F.pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("tables", "links", "list_items")]))
 def shape(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([shape_of(t) for t in texts], columns=["tables", "links", "list_items"])
 
@@ -426,7 +427,7 @@ def diff_str(before: str, after: str) -> str:
 
 
 def _text_udf(fn: Callable[[str], str]):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else fn(t))
 
@@ -437,11 +438,11 @@ markdown_of = _text_udf(from_html)
 html_of = _text_udf(to_html)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def preview(html: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([preview_str(h, t) for h, t in zip(html, text)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def word_diff(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series([diff_str(a or "", b or "") for a, b in zip(before, after)])

@@ -4,12 +4,430 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from proseloom.functions import codecs, markup
+from proseloom.functions.clean import clean_texts
+from proseloom.functions.facts import fact_spans, protect, restore, violation
+from proseloom.functions.text import is_blank, spaced_words, word_count
+from proseloom.operators import chunk, detect, gates, score
+from proseloom.plans import prompts, rewrite
+from proseloom.session import table
+from proseloom.sources.pack import DETECTORS, Detector, Pack, Tier, pack_from_tables
+from proseloom.streaming import jobs
+
+#: Sentences that are put to the texts of derived queries, one for each kind of finding.
+SAMPLES = [
+    "It holds — mostly — and ends.", "They wrote “done” twice.", "Launch day ☀ came.", "The tool is not only quick but kind.", "It’s not a bug, it’s a habit.", "Not a list. Not a table.", "Sales rose, highlighting the trend.",
+    "The hall serves as a gym.", "Studies show a rise.", "Feel free to ask.", "Based on available information it rained.", "It may possibly rain.", "Only time will tell.", "This is a testament to work.", "Here's the thing we saw.",
+    "At its core it is a pump.", "The stakes are high.", "The data tells us more.", "\n- **Name**: value\n", "Red, green, and blue lamps.", "See pages 10–12 – now.", "Nothing to see here.",
+]
+ALPHABET = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ‘’', 'abcdefghijklmnopqrstuvwxyz''''')"
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of clip_docs once."""
+    return table(spark, sf_dir, "clip_docs").select("doc_key", "text").distinct()
+
+
+def _pack(spark: SparkSession, sf_dir: str) -> Pack:
+    return pack_from_tables(spark, table(spark, sf_dir, "rules_vocab"), table(spark, sf_dir, "rules_phrase"))
+
+
+def _derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with two words of the vocabulary and one sample sentence put to its text."""
+    words = F.broadcast(table(spark, sf_dir, "rules_vocab").select("seq", "word").limit(1000))
+    docs = _docs(spark, sf_dir).withColumn("a", (F.col("doc_key") % 45).cast("int")).withColumn("b", ((F.col("doc_key") * 7 + 3) % 45).cast("int"))
+    docs = docs.join(words.select(F.col("seq").alias("a"), F.col("word").alias("wa")), "a").join(words.select(F.col("seq").alias("b"), F.col("word").alias("wb")), "b")
+    sample = F.element_at(F.array(*map(F.lit, SAMPLES)), (F.col("doc_key") % len(SAMPLES) + 1).cast("int"))
+    return docs.select("doc_key", F.concat("text", F.lit(" "), "wa", F.lit(" "), "wb", F.lit(" "), sample).alias("text"))
+
+
+def _bench(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark row once: of equal keys the one that was logged last."""
+    return score.latest(table(spark, sf_dir, "bench_rows"), ["model", "run", "id"], "logged_at")
+
+
+# ---- texts and findings -------------------------------------------------------------------------------------------------
+
+
+def doc_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_key", word_count(F.col("text")).alias("words"), is_blank(F.col("text")).alias("blank"))
+
+
+def vocab_hits_by_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pack, docs = _pack(spark, sf_dir), _derived(spark, sf_dir)
+
+    def of_tier(t: Tier) -> Column:
+        return F.transform(detect.occurrences(detect.fold(F.col("text")), t.words), lambda w: F.struct(F.lit(t.number).alias("tier"), w.alias("word")))
+
+    hits = [of_tier(t) for t in pack.tiers]
+    found = docs.select("doc_key", F.explode_outer(F.concat(*hits)).alias("h")).where("h IS NOT NULL").select("doc_key", "h.*")
+    return found.groupBy("tier", "word").agg(F.countDistinct("doc_key").alias("docs"), F.count("*").alias("hits"))
+
+
+def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pack = _pack(spark, sf_dir)
+    found = _docs(spark, sf_dir).select(F.explode_outer(detect.phrase_findings(detect.fold(F.col("text")), pack, 0)).alias("f")).where("f IS NOT NULL")
+    return found.groupBy(F.col("f.matched").alias("match_text")).agg(F.count("*").alias("docs"))
+
+
+def regex_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pack = _pack(spark, sf_dir)
+
+    def of_detector(d: Detector) -> Column:
+        return F.transform(detect.matches(F.col("text"), d), lambda m: F.struct(F.lit(d.id).alias("id"), m.alias("matched")))
+
+    # outer: a plain explode would evaluate all patterns once more in a filter of its own
+    found = _derived(spark, sf_dir).select("doc_key", F.explode_outer(F.concat(*map(of_detector, pack.detectors))).alias("f")).where("f IS NOT NULL")
+    return found.groupBy(F.col("f.id").alias("detector")).agg(F.countDistinct("doc_key").alias("docs"), F.count("*").alias("hits"))
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finding of every record, in order."""
+    found = detect.with_findings(_derived(spark, sf_dir), _pack(spark, sf_dir))
+    return found.select("doc_key", F.posexplode_outer("findings").alias("place", "f")).where("place IS NOT NULL").select("doc_key", "place", "f.id", "f.matched", "f.category", "f.weight", "f.tier")
+
+
+def finding_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect.with_findings(_derived(spark, sf_dir), _pack(spark, sf_dir))
+    return found.select("doc_key", F.size("findings").cast("long").alias("n"), detect.repair_score(F.col("findings")).alias("repair"), detect.gate_score(F.col("findings")).alias("gate"), detect.probe_score(F.col("findings")).alias("probe"))
+
+
+def tier_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each record, the words of the gated tiers that are there, and whether the gate lets them through."""
+    pack = _pack(spark, sf_dir)
+    found = detect.with_findings(_derived(spark, sf_dir), pack)
+    folded = detect.fold(F.col("text"))
+    count = lambda n: F.size(F.filter("findings", lambda f: f["tier"] == n)).cast("long")
+    distinct = F.size(F.array_distinct(detect.occurrences(folded, pack.tiers[1].words))).cast("long")
+    return found.select("doc_key", distinct.alias("tier2_words"), (count(2) > 0).alias("tier2_passed"), (count(3) > 0).alias("tier3_passed"))
+
+
+def finding_checklists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect.with_findings(_derived(spark, sf_dir), _pack(spark, sf_dir))
+    return found.select("doc_key", F.size(detect.checklist(F.col("findings"))).cast("long").alias("listed"), F.size(detect.repair_targets(F.col("findings"))).cast("long").alias("targets"))
+
+
+def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every derived text after the mechanical fixes."""
+    return clean_texts(_derived(spark, sf_dir), _pack(spark, sf_dir)).select("doc_key", "cleaned", F.col("fixes").cast("long").alias("fixes"))
+
+
+def cleaned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both halves of every record after the mechanical fixes."""
+    docs = table(spark, sf_dir, "clip_docs").select("doc_key", "kind", "html", "text").distinct()
+    return rewrite.clean_documents(docs, _pack(spark, sf_dir))
+
+
+def dash_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dashes of the texts and what is left of them after cleaning with a pack without phrases."""
+    out = clean_texts(_docs(spark, sf_dir), Pack((), (), ()))
+    return out.select("doc_key", F.col("fixes").cast("long").alias("dashes"), F.contains("cleaned", F.lit("—")).alias("left_over"))
+
+
+# ---- facts --------------------------------------------------------------------------------------------------------------
+
+
+def fact_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _docs(spark, sf_dir).select("doc_key", F.explode_outer(fact_spans("text")).alias("s")).where("s IS NOT NULL")
+    return found.groupBy(F.col("s.kind").alias("kind")).agg(F.countDistinct("doc_key").alias("docs"), F.count("*").alias("spans"))
+
+
+def protected_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text with placeholders and the number of values of every record."""
+    return _docs(spark, sf_dir).select("doc_key", protect("text").alias("p")).select("doc_key", "p.text", F.size("p.values").cast("long").alias("n_values"))
+
+
+def protect_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Protecting and restoring gives the text again, whatever it holds."""
+    out = _docs(spark, sf_dir).where(~F.contains("text", F.lit("[[F"))).withColumn("p", protect("text"))
+    return out.select("doc_key", (restore(F.col("p.text"), F.col("p.values"))["text"] == F.col("text")).alias("same"))
+
+
+def restored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The protected texts with their values put back."""
+    rows = table(spark, sf_dir, "protected_texts").distinct()
+    return rows.select("doc_key", F.md5(restore(F.col("text"), F.col("fact_values"))["text"].cast("binary")).alias("digest"))
+
+
+def restore_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is found wrong when the first token is dropped, repeated, or an unknown one is put to the end."""
+    rows = table(spark, sf_dir, "protected_texts").distinct()
+    cases = F.array(
+        F.struct(F.lit("dropped").alias("change"), F.replace("text", F.lit("[[F00]]"), F.lit("")).alias("answer")),
+        F.struct(F.lit("repeated").alias("change"), F.concat("text", F.lit("[[F00]]")).alias("answer")),
+        F.struct(F.lit("invented").alias("change"), F.concat("text", F.lit("[[F9999]]")).alias("answer")),
+    )
+    out = rows.select("doc_key", "fact_values", F.explode(cases).alias("c"))
+    wrong, loose = violation(F.col("c.answer"), F.size("fact_values")), violation(F.col("c.answer"), F.size("fact_values"), may_drop=True)
+    return out.select("doc_key", "c.change", wrong["kind"].alias("kind"), loose["kind"].alias("loose_kind"))
+
+
+# ---- chunks and gates ---------------------------------------------------------------------------------------------------
+
+
+def chunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of paragraphs of every record with no paragraph over 6,000 code points."""
+    groups = _docs(spark, sf_dir).select("doc_key", F.posexplode(chunk.chunks(F.col("text"), 400, 6000)).alias("chunk", "part"))
+    return groups.select("doc_key", F.col("chunk").cast("long").alias("chunk"), F.length("part").cast("long").alias("size"))
+
+
+def too_long_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = rewrite.split_documents(_docs(spark, sf_dir).withColumnRenamed("doc_key", "doc_id"))
+    return parts.groupBy("gate").agg(F.countDistinct("doc_id").alias("docs"), F.sum("n_chunks").alias("chunks"))
+
+
+def answer_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _bench(spark, sf_dir)
+    a, b = F.col("input"), F.col("output")
+    return rows.select("model", "run", "id", gates.length_gate(a, b).alias("length_gate"), gates.shorter_gate(a, b).alias("shorter_gate"), gates.commentary(a, b).alias("commentary"))
+
+
+def kept_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _bench(spark, sf_dir).where("output IS NOT NULL")
+    return rows.select("model", "run", "id", chunk.keep_paragraphs(F.col("baseline"), F.col("output")).alias("kept"))
+
+
+def answer_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rewriting plan over the benchmark's inputs with its outputs as the answers, one document for each row."""
+    rows = _bench(spark, sf_dir).withColumn("doc_id", F.xxhash64("model", "run", "id"))
+    answers = rows.select("doc_id", F.lit(0).alias("chunk"), F.lit("edit").alias("stage"), F.lit(0).alias("draw"), F.col("output").alias("answer"), F.lit(None).cast("string").alias("error"))
+    parts = rows.select("doc_id", F.lit(0).alias("chunk"), F.col("input").alias("part"))
+    judged = rewrite.judge(parts.withColumn("part", protect("part")["text"]), answers.withColumn("answer", protect("answer")["text"]), _pack(spark, sf_dir))
+    return judged.groupBy(F.coalesce(F.col("rejected.kind"), F.lit("accepted")).alias("decision")).agg(F.count("*").alias("rows"))
+
+
+def prompt_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length a summary of each record is asked for."""
+    text = F.col("text")
+    return _docs(spark, sf_dir).select("doc_key", spaced_words(text).alias("words"), prompts.target_words(text).alias("target"))
+
+
+# ---- scoring ------------------------------------------------------------------------------------------------------------
+
+
+def latest_bench_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bench(spark, sf_dir).select("model", "run", "id", "ms", "vram_mib", F.coalesce(F.length("output"), F.lit(-1)).cast("long").alias("n_output"))
+
+
+def latest_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record as it was delivered last."""
+    rows = table(spark, sf_dir, "clip_docs").select("doc_key", "kind", "app", "loaded_at", F.length("text").cast("long").alias("n"))
+    return score.latest(rows, ["doc_key"], "loaded_at")
+
+
+def model_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score.model_rollup(_bench(spark, sf_dir))
+
+
+def rejection_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score.rejection_reasons(_bench(spark, sf_dir))
+
+
+def sample_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean length of the outputs of each sample and model."""
+    rows = _bench(spark, sf_dir).withColumn("n", F.length("output"))
+    return score.sample_means(rows, "n").select("id", "model", F.round("mean", 6).alias("mean"))
+
+
+def model_tells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each model: tells of inputs, baselines and outputs, overlapping spans merged, and the drop against the baseline."""
+    spans = score.tell_spans(_pack(spark, sf_dir))
+    rows = _bench(spark, sf_dir).select("model", "run", "id", *[spans(c).alias(c) for c in ("input", "baseline", "output")])
+    counted = rows.select("model", "run", "id", *[score.islands(F.col(c)).alias(c) for c in ("input", "baseline", "output")])
+    out = counted.groupBy("model").agg((F.max("run") + 1).cast("long").alias("runs"), *[F.sum(c).alias(c) for c in ("input", "baseline", "output")])
+    return out.withColumn("drop_pct", F.when(F.col("baseline") > 0, F.round(100 * (1 - F.col("output") / F.col("baseline")), 6)))
+
+
+def surviving_tells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six rules that hit each model's outputs most often."""
+    spans = score.tell_spans(_pack(spark, sf_dir))
+    return score.top_hits(_bench(spark, sf_dir).select("model", spans("output").alias("spans")), "spans")
+
+
+def busy_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of time in which rewrites of one model overlapped."""
+    rows = _bench(spark, sf_dir).where("ms IS NOT NULL AND finished_at IS NOT NULL")
+    end = F.unix_micros(F.col("finished_at").cast("timestamp"))
+    return score.island_rows(rows.select("model", (end - F.col("ms") * 1000).alias("s"), end.alias("e")), ["model"], "s", "e")
+
+
+# ---- markup and clipboard -----------------------------------------------------------------------------------------------
+
+
+def page_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "clip_docs").where("html IS NOT NULL").select("doc_key", "html").distinct()
+    return rows.select("doc_key", markup.shape("html").alias("s")).select("doc_key", *[F.col(f"s.{c}").cast("long").alias(c) for c in ("tables", "links", "list_items")])
+
+
+def shape_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What converting every page to Markdown and back loses: nothing."""
+    rows = table(spark, sf_dir, "clip_docs").where("html IS NOT NULL").select("doc_key", "html").distinct()
+    rows = rows.select("doc_key", markup.shape("html").alias("a"), markup.shape(markup.html_of(markup.markdown_of("html"))).alias("b"))
+    return rows.select("doc_key", gates.lost(F.col("a"), F.col("b")).alias("lost"))
+
+
+def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "clip_docs").select("doc_key", "html", "text").distinct()
+    return rows.select("doc_key", markup.preview("html", "text").alias("preview"))
+
+
+def word_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baseline against output, word by word."""
+    return _bench(spark, sf_dir).select("model", "run", "id", markup.word_diff("baseline", "output").alias("diff"))
+
+
+def payload_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clipboard payloads of every page: their bytes, and whether the fragment comes back as it was."""
+    rows = table(spark, sf_dir, "clip_docs").where("html IS NOT NULL").select("doc_key", "html").distinct()
+    rows = rows.withColumn("payload", codecs.build_payload(F.col("html")))
+    return rows.select("doc_key", F.octet_length("payload").cast("long").alias("bytes"), (codecs.parse_payload("payload") == F.col("html")).alias("same"))
+
+
+# ---- events -------------------------------------------------------------------------------------------------------------
+
+
+def latest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
+    return jobs.latest_job(rows, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+def idle_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jobs.idle_sessions(table(spark, sf_dir, "events"), "user_id", "ts", 600)
+    return out.select("user_id", "session", "n", F.unix_micros(F.col("started").cast("timestamp")).alias("started"))
+
+
+def changed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of another type than the one before of the same user."""
+    return jobs.changed_only(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type")
+
+
+def current_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark rows as events of a session: a start when a rewrite began, a result when it was logged; late ones are dropped."""
+    rows = _bench(spark, sf_dir).where("ms IS NOT NULL AND logged_at IS NOT NULL AND finished_at IS NOT NULL")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rows = rows.select(F.col("model").alias("session"), "id", "run", (micros("finished_at") - F.col("ms") * 1000).alias("b"), micros("logged_at").alias("e"))
+    w = Window.partitionBy("session").orderBy("b", "id", "run")
+    rows = rows.withColumn("job", F.row_number().over(w).cast("long"))
+    events = rows.select("session", "job", F.concat("id", F.lit("/"), F.col("run").cast("string")).alias("payload"), F.explode(F.array(F.struct(F.lit("begin").alias("kind"), (F.col("b") * 2).alias("seq")), F.struct(F.lit("result").alias("kind"), (F.col("e") * 2 + 1).alias("seq")))).alias("x"))
+    out = jobs.current_results(events.select("session", "job", "payload", "x.kind", "x.seq"))
+    return out.select("session", "job", "payload")
+
+
+_NAMES = [
+    doc_word_count, vocab_hits_by_tier, phrase_hits, regex_findings, findings, finding_scores, tier_gates, finding_checklists, cleaned, cleaned_documents, dash_counts, fact_kinds, protected_docs, protect_roundtrip, restored_texts, restore_violations,
+    chunk_sizes, too_long_docs, answer_gates, kept_paragraphs, answer_decisions, prompt_targets, latest_bench_rows, latest_docs, model_rollup, rejection_reasons, sample_means, model_tells, surviving_tells, busy_islands,
+    page_shapes, shape_losses, previews, word_diffs, payload_sizes, latest_job, idle_sessions, changed_events, current_results,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in _NAMES}
+
+
+# ---- the same in SQL ----------------------------------------------------------------------------------------------------
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_DOCS = "docs AS (SELECT DISTINCT doc_key, text FROM clip_docs)"
+_DERIVED = f"""{_DOCS}, vocab AS (SELECT DISTINCT * FROM rules_vocab), derived AS (
+    SELECT doc_key, text || ' ' || a.word || ' ' || b.word || ' ' || list_extract([{", ".join(map(_text, SAMPLES))}], CAST(doc_key % {len(SAMPLES)} + 1 AS BIGINT)) AS text
+    FROM docs JOIN vocab a ON a.seq = doc_key % 45 JOIN vocab b ON b.seq = (doc_key * 7 + 3) % 45),
+  folded AS (SELECT doc_key, text, {FOLD.format("text")} AS f FROM derived)"""
+# separators are doubled, so that words beside each other don't share one
+_VOCAB = f"""occ AS (SELECT doc_key, tier, word, len(regexp_extract_all(g, '[^a-z0-9_]' || regexp_replace({FOLD.format("word")}, '([^a-z0-9_])', '\\1\\1', 'g') || '[^a-z0-9_]')) AS n
+    FROM (SELECT doc_key, f, ' ' || regexp_replace(f, '([^a-z0-9_])', '\\1\\1', 'g') || ' ' AS g FROM folded), vocab WHERE contains(f, {FOLD.format("word")}))"""
+_RE2 = {"oxford-triple": r"[\p{L}\p{M}\p{N}_]+, [\p{L}\p{M}\p{N}_]+, and [\p{L}\p{M}\p{N}_]+"}
+_EMOJI = r"[\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{1F300}-\x{1FAFF}]"
+
+
+def _regex_sql() -> str:
+    parts = []
+    for i, (name, pattern, flags, category, weight) in enumerate(DETECTORS):
+        if name == "emoji":
+            found = f"CASE WHEN regexp_matches(text, {_text(_EMOJI)}) THEN [regexp_extract(text, {_text(_EMOJI)})] ELSE [] END"
+        else:
+            prefix = "(?m)" if "m" in (flags or "") else ""
+            found = f"regexp_extract_all(text, {_text(prefix + _RE2.get(name, pattern))}, 0, 'i')"
+        parts.append(f"SELECT doc_key, {_text(name)} AS id, {weight} AS weight, {i} AS seq, trim(unnest({found}), E' \\n\\t\\r') AS matched FROM derived")
+    return "hits AS (" + " UNION ALL ".join(parts) + ")"
+
+
+_FINDINGS = f"""WITH {_DERIVED}, {_VOCAB}, {_regex_sql()},
+  words AS (SELECT doc_key, greatest(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}''’\\-–]+')), 1) AS w FROM derived),
+  gates AS (SELECT doc_key, tier, count(*) AS words, sum(n) AS hits FROM occ WHERE n > 0 GROUP BY ALL),
+  passed AS (SELECT g.doc_key, g.tier FROM gates g JOIN words w USING (doc_key) WHERE g.tier = 1 OR (g.tier = 2 AND g.words >= 2)
+             OR (g.tier = 3 AND CAST(CAST(g.hits / w.w AS FLOAT) * 100::FLOAT AS FLOAT) > 1.5::FLOAT)),
+  pack AS (SELECT match_text, min_by(weight, seq) AS weight FROM rules_phrase GROUP BY 1),
+  found AS (
+    SELECT o.doc_key, 'vocab:' || o.word AS id, o.word AS matched, v.weight, o.tier AS tier FROM occ o JOIN passed p ON p.doc_key = o.doc_key AND p.tier = o.tier JOIN vocab v ON v.word = o.word AND v.tier = o.tier WHERE o.n > 0
+    UNION ALL SELECT doc_key, 'phrase:' || match_text, match_text, weight, NULL FROM folded, pack WHERE contains(f, {FOLD.format("match_text")})
+    UNION ALL SELECT doc_key, id, any_value(matched), any_value(weight), NULL FROM hits GROUP BY doc_key, id, translate(matched, {ALPHABET}))"""
+_REPAIR = "(tier IN (1, 2) OR weight >= 3) AND id <> 'inline-header-list'"
+_BENCH = "b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, run, id ORDER BY logged_at DESC) AS rn FROM bench_rows) WHERE rn = 1)"
+_BLANK = r"regexp_matches({0}, '^[\s\x{{00A0}}\x{{2000}}-\x{{200A}}\x{{3000}}]*$')"
+_COMMENTARY = " OR ".join(f"(contains(lower(output), {_text(m)}) AND NOT contains(lower(input), {_text(m)}))" for m in gates.COMMENTARY)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "doc_word_count": f"WITH {_DOCS} SELECT doc_key, CAST(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}''’\\-–]+')) AS BIGINT) AS words, {_BLANK.format('text')} AS blank FROM docs",
+        "vocab_hits_by_tier": f"WITH {_DERIVED}, {_VOCAB} SELECT tier, {FOLD.format('word')} AS word, count(DISTINCT doc_key) AS docs, CAST(sum(n) AS BIGINT) AS hits FROM occ WHERE n > 0 GROUP BY ALL",
+        "phrase_hits": f"WITH {_DOCS}, p AS (SELECT DISTINCT match_text FROM rules_phrase) SELECT match_text, count(*) AS docs FROM (SELECT {FOLD.format('text')} AS f FROM docs), p WHERE contains(f, {FOLD.format('match_text')}) GROUP BY 1",
+        "regex_findings": f"WITH {_DERIVED}, {_regex_sql()} SELECT id AS detector, count(DISTINCT doc_key) AS docs, count(*) AS hits FROM hits GROUP BY 1",
+        "finding_scores": f"{_FINDINGS} SELECT d.doc_key, count(id) AS n, CAST(coalesce(sum(weight) FILTER ({_REPAIR}), 0) AS BIGINT) AS repair, CAST(coalesce(sum(weight) FILTER ({_REPAIR} AND tier IS NULL), 0) AS BIGINT) AS gate, count(*) FILTER (tier = 1 OR (id IS NOT NULL AND tier IS NULL AND weight >= 2)) AS probe FROM derived d LEFT JOIN found USING (doc_key) GROUP BY 1",
+        "tier_gates": f"{_FINDINGS} SELECT d.doc_key, CAST(coalesce(max(g.words), 0) AS BIGINT) AS tier2_words, coalesce(bool_or(p.tier = 2), false) AS tier2_passed, coalesce(bool_or(p.tier = 3), false) AS tier3_passed FROM derived d LEFT JOIN gates g ON g.doc_key = d.doc_key AND g.tier = 2 LEFT JOIN passed p ON p.doc_key = d.doc_key GROUP BY 1",
+        "finding_checklists": f"{_FINDINGS} SELECT d.doc_key, least(count(*) FILTER (weight >= 2 AND id <> 'inline-header-list'), 24) AS listed, least(count(*) FILTER ({_REPAIR}), 16) AS targets FROM derived d LEFT JOIN found USING (doc_key) GROUP BY 1",
+        "dash_counts": f"WITH {_DOCS} SELECT doc_key, CAST(len(regexp_extract_all(text, '[–—]')) AS BIGINT) AS dashes, false AS left_over FROM docs",
+        "protect_roundtrip": f"WITH {_DOCS} SELECT doc_key, true AS same FROM docs WHERE NOT contains(text, '[[F')",
+        "restored_texts": f"WITH {_DOCS} SELECT doc_key, md5(docs.text) AS digest FROM (SELECT DISTINCT doc_key, text, fact_values FROM protected_texts) JOIN docs USING (doc_key)",
+        "restore_violations": """
+            WITH p AS (SELECT DISTINCT doc_key, text, fact_values FROM protected_texts), c AS (SELECT doc_key, len(fact_values) AS n, unnest(['dropped', 'repeated', 'invented']) AS change FROM p)
+            SELECT doc_key, change, CASE change WHEN 'invented' THEN 'unknown' WHEN 'dropped' THEN CASE WHEN n > 0 THEN 'missing' END ELSE CASE WHEN n > 0 THEN 'duplicated' ELSE 'unknown' END END AS kind,
+                   CASE change WHEN 'invented' THEN 'unknown' WHEN 'repeated' THEN CASE WHEN n > 0 THEN 'duplicated' ELSE 'unknown' END END AS loose_kind FROM c""",
+        "chunk_sizes": f"""
+            WITH RECURSIVE {_DOCS}, parts AS (SELECT doc_key, unnest(string_split(replace(text, E'\\r\\n', E'\\n'), E'\\n\\n')) AS p, generate_subscripts(string_split(replace(text, E'\\r\\n', E'\\n'), E'\\n\\n'), 1) AS k FROM docs),
+            kept AS (SELECT doc_key, row_number() OVER (PARTITION BY doc_key ORDER BY k) AS i, length(p) AS n FROM parts WHERE NOT {_BLANK.format('p')}),
+            fit AS (SELECT * FROM kept WHERE doc_key NOT IN (SELECT doc_key FROM kept WHERE n > 6000)),
+            step AS (SELECT doc_key, i, 0 AS chunk, n AS used FROM fit WHERE i = 1 UNION ALL
+                     SELECT f.doc_key, f.i, CASE WHEN s.used + 2 + f.n <= 400 THEN s.chunk ELSE s.chunk + 1 END, CASE WHEN s.used + 2 + f.n <= 400 THEN s.used + 2 + f.n ELSE f.n END FROM step s JOIN fit f ON f.doc_key = s.doc_key AND f.i = s.i + 1)
+            SELECT doc_key, CAST(chunk AS BIGINT) AS chunk, CAST(max(used) AS BIGINT) AS size FROM step GROUP BY doc_key, chunk""",
+        "answer_gates": f"""
+            WITH {_BENCH} SELECT model, run, id,
+              CASE WHEN {_BLANK.format('output')} THEN 'the rewrite came back empty' WHEN length(output) * 3 < length(input) THEN 'the rewrite dropped most of the text' WHEN length(output) > length(input) * 3 THEN 'the rewrite ran away' END AS length_gate,
+              CASE WHEN {_BLANK.format('output')} THEN 'the summary came back empty' WHEN length(output) >= length(input) THEN 'the summary is no shorter than the text' END AS shorter_gate, {_COMMENTARY} AS commentary FROM b""",
+        "prompt_targets": f"WITH {_DOCS}, w AS (SELECT doc_key, CAST(len(regexp_extract_all(text, '[^\\s\\x{{00A0}}\\x{{0085}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+')) AS BIGINT) AS words FROM docs) SELECT doc_key, words, least(greatest(words // 4, 25), words) AS target FROM w",
+        "latest_bench_rows": f"WITH {_BENCH} SELECT model, run, id, ms, vram_mib, CAST(coalesce(length(output), -1) AS BIGINT) AS n_output FROM b",
+        "latest_docs": "SELECT doc_key, kind, app, loaded_at, CAST(length(text) AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_key ORDER BY loaded_at DESC) AS rn FROM clip_docs) WHERE rn = 1",
+        "model_rollup": f"""
+            WITH {_BENCH}, f AS (SELECT *, CAST(coalesce(len(list_filter(facts, lambda x: x IS NOT NULL AND NOT contains(coalesce(output, ''), x))), 0) AS BIGINT) AS lost FROM b)
+            SELECT model, CAST(max(run) + 1 AS BIGINT) AS runs, count(*) AS rewrites, count(rejected) AS rejected, CAST(sum(lost) AS BIGINT) AS facts_lost, median(ms) AS median_ms, max(load_ms) AS load_ms, max(vram_mib) AS vram_mib FROM f GROUP BY 1""",
+        "rejection_reasons": f"WITH {_BENCH} SELECT model, rejected, count(*) AS n FROM b WHERE rejected IS NOT NULL GROUP BY ALL",
+        "sample_means": f"WITH {_BENCH} SELECT id, model, round(avg(length(output)), 6) AS mean FROM b GROUP BY ALL",
+        "busy_islands": f"""
+            WITH {_BENCH}, i AS (SELECT model, epoch_us(finished_at) - ms * 1000 AS s, epoch_us(finished_at) AS e FROM b WHERE ms IS NOT NULL AND finished_at IS NOT NULL),
+            h AS (SELECT *, max(e) OVER (PARTITION BY model ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hi FROM i),
+            g AS (SELECT *, sum(CASE WHEN hi IS NULL OR s >= hi THEN 1 ELSE 0 END) OVER (PARTITION BY model ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM h)
+            SELECT model, CAST(island AS BIGINT) AS island, min(s) AS s, max(e) AS e, count(*) AS n FROM g GROUP BY model, island""",
+        "page_shapes": """
+            SELECT DISTINCT doc_key, CAST(len(regexp_extract_all(html, '<table[ >]')) AS BIGINT) AS tables, CAST(len(regexp_extract_all(html, '<a href="[^"]+">')) AS BIGINT) AS links, CAST(len(regexp_extract_all(html, '<li[ >]')) AS BIGINT) AS list_items
+            FROM clip_docs WHERE html IS NOT NULL""",
+        "shape_losses": "SELECT DISTINCT doc_key, CAST(NULL AS VARCHAR) AS lost FROM clip_docs WHERE html IS NOT NULL",
+        "payload_sizes": f"SELECT DISTINCT doc_key, CAST({codecs.HEADER_BYTES + len(codecs.HEAD) + len(codecs.FOOT)} + octet_length(encode(html)) AS BIGINT) AS bytes, true AS same FROM clip_docs WHERE html IS NOT NULL",
+        "latest_job": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
+        "idle_sessions": """
+            WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 600000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+            s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
+            SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, epoch_us(min(ts)) AS started FROM s GROUP BY user_id, session""",
+        "changed_events": "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE before IS NULL OR before <> event_type",
+        "current_results": f"""
+            WITH {_BENCH}, r AS (SELECT model AS session, id, run, epoch_us(finished_at) - ms * 1000 AS s, epoch_us(logged_at) AS e FROM b WHERE ms IS NOT NULL AND logged_at IS NOT NULL AND finished_at IS NOT NULL),
+            j AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY s, id, run) AS job FROM r)
+            SELECT session, job, id || '/' || CAST(run AS VARCHAR) AS payload FROM j a WHERE job = (SELECT max(k.job) FROM j k WHERE k.session = a.session AND k.s <= a.e)""",
+    }

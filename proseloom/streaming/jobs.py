@@ -75,8 +75,9 @@ def in_flight(events: DataFrame, session: str = "session", order: str = "seq") -
 def idle_sessions(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
     """(key, session, started, ended, n): runs of events with no pause of ``gap_seconds`` or more."""
     w = Window.partitionBy(key).orderBy(ts)
-    pause = F.col(ts).cast("double") - F.lag(ts).over(w).cast("double")
-    marked = events.select(key, ts).withColumn("_new", F.coalesce((pause >= gap_seconds).cast("long"), F.lit(1)))
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    pause = at - F.lag(at).over(w)
+    marked = events.select(key, ts).withColumn("_new", F.coalesce((pause >= gap_seconds * 1_000_000).cast("long"), F.lit(1)))
     marked = marked.withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return marked.groupBy(key, "session").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("n"))
 
