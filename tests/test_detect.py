@@ -32,7 +32,7 @@ def test_plain_prose_has_no_findings(spark):
 
 
 def test_gates_and_order(spark):
-    text = "It is a Testament to IN ORDER TO. paradigm, cutting-edge; best practices, deep divers in today’s rapidly evolving world."
+    text = "The Testament went IN ORDER TO. paradigm, cutting-edge; best practices, deep divers in today’s rapidly evolving world."
     f = found(spark, text, "a paradigm only", "a paradigm and paradigm", "valuable " + "word " * 30, "valuable " + "word " * 99, "édelve testament_ testaments", "testament Testament")
     assert [(x.matched, x.weight, x.tier) for x in f[0]] == [("in today's rapidly evolving", 5, None), ("testament", 5, 1), ("cutting-edge", 3, 2), ("deep dive", 3, None), ("in order to", 3, None), ("paradigm", 3, 2), ("best practices", 2, None)]
     assert [len(x) for x in f[1:]] == [0, 0, 1, 0, 0, 1]
