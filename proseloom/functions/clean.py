@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proseloom.functions.patterns import starts, trie
 from proseloom.sources.pack import Pack, Phrase
 
 _CAPITAL = "\x00"
@@ -96,11 +97,8 @@ def capitals(text: str) -> str:
 def needs_cleaning(text: Column, pack: Pack) -> Column:
     """False only for texts that cleaning leaves as they are; a literal pattern, so it runs in the JVM."""
     own = [p.match for p in pack.phrases if p.fix is not None and p.match]
-    return text.rlike("|".join(["[–—\\x00]", *(r"(?i)" + "(?:" + "|".join(map(_quoted, own)) + ")" for own in ([own] if own else []))]))
-
-
-def _quoted(literal: str) -> str:
-    return re.sub(r"([^\w\s])", r"\\\1", literal)
+    dashes = text.rlike(r"[–—\x00]")
+    return dashes | text.rlike(starts(own, True) + trie(own, True)) if own else dashes
 
 
 def clean_texts(df: DataFrame, pack: Pack, text: str = "text", to: str = "cleaned", fixes: str = "fixes") -> DataFrame:

@@ -7,48 +7,54 @@ their beginnings lets through.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proseloom.functions.patterns import quoted, starts, trie
 from proseloom.functions.text import fold, fold_str, trimmed, word_count
-from proseloom.sources.pack import Detector, Pack, Tier
+from proseloom.sources.pack import DETECTORS, Detector, Pack, Tier
 
 FINDING = "struct<seq: int, id: string, matched: string, category: string, weight: int, tier: int>"
 
 
-def quoted(literal: str) -> str:
-    """A literal for Java and RE2 patterns."""
-    return re.sub(r"([^\w\s])", r"\\\1", literal)
-
-
-def occurrences(folded: Column, words: tuple[str, ...]) -> Column:
-    """The words of the list that stand in the folded text between other characters than ASCII letters, digits and _, one entry
+def occurrences(text: Column, words: tuple[str, ...]) -> Column:
+    """The words of the list, folded, that stand in the text between other characters than ASCII letters, digits and _, one entry
     for each occurrence. Words with inner marks are looked for on their own, as they may meet inside one another."""
-    plain = [w for w in words if re.fullmatch(r"[a-z0-9_]+", fold_str(w))]
-    found = []
+    plain = [fold_str(w) for w in words if re.fullmatch(r"[a-z0-9_]+", fold_str(w))]
+    none, found = F.array().cast("array<string>"), []
     if plain:
-        body = "|".join(quoted(fold_str(w)) for w in plain)
-        found.append(F.regexp_extract_all(folded, F.lit(rf"(?<![A-Za-z0-9_])(?:{body})(?![A-Za-z0-9_])"), F.lit(0)))
-    for w in words:
+        found.append(F.regexp_extract_all(text, F.lit(rf"{starts(plain, True)}(?<![A-Za-z0-9_])(?:{trie(plain, True)})(?![A-Za-z0-9_])"), F.lit(0)))
+    for w in map(fold_str, words):
         if w and w not in plain:
-            found.append(F.regexp_extract_all(folded, F.lit(rf"(?<![A-Za-z0-9_]){quoted(fold_str(w))}(?![A-Za-z0-9_])"), F.lit(0)))
-    return F.concat(*found) if found else F.array().cast("array<string>")
+            one = trie([w], True)
+            hit = F.regexp_extract_all(text, F.lit(rf"(?<![A-Za-z0-9_]){one}(?![A-Za-z0-9_])"), F.lit(0))
+            found.append(F.when(text.rlike(one), hit).otherwise(none))
+    return F.transform(F.concat(*found), fold) if found else none
+
+
+def _literals(rows: list[dict], kind: str) -> Column:
+    """An array of structs as one literal; thousands of single literals would take seconds to hand over and to analyse."""
+    return F.from_json(F.lit(json.dumps(rows)), f"array<{kind}>")
+
+
+def _none() -> Column:
+    return F.array().cast(f"array<{FINDING}>")
+
+
+def _finding(seq: int, id: str, matched: str, category: str, weight: int, tier: int | None) -> dict:
+    return {"needle": fold_str(matched), "f": {"seq": seq, "id": id, "matched": matched, "category": category, "weight": weight, "tier": tier}}
 
 
-def _literal_array(items: list[Column], kind: str) -> Column:
-    return F.array(*items).cast(f"array<{kind}>") if items else F.array().cast(f"array<{kind}>")
+KEYED = f"struct<needle: string, f: {FINDING}>"
 
 
 def tier_findings(hits: Column, words: Column, tier: Tier, seq: int) -> Column:
     """Findings of a tier whose gate is passed; ``hits`` are its occurrences, ``words`` the words of the text."""
-    entries = _literal_array(
-        [F.struct(F.lit(seq + i), F.lit(f"vocab:{w}"), F.lit(w), F.lit("vocabulary"), F.lit(tier.weight), F.lit(tier.number)) for i, w in enumerate(tier.words)], FINDING
-    )
-    folded_words = {w: fold_str(w) for w in tier.words}
-    keyed = F.create_map(*[F.lit(x) for w, f in folded_words.items() for x in (w, f)]) if folded_words else None
-    present = entries if keyed is None else F.filter(entries, lambda e: F.array_contains(hits, keyed[e["matched"]]))
+    entries = _literals([_finding(seq + i, f"vocab:{w}", w, "vocabulary", tier.weight, tier.number) for i, w in enumerate(tier.words)], KEYED)
+    present = F.transform(F.filter(entries, lambda e: F.array_contains(hits, e["needle"])), lambda e: e["f"])
     if tier.number == 1:
         gate = F.size(hits) > 0
     elif tier.number == 2:
@@ -56,30 +62,62 @@ def tier_findings(hits: Column, words: Column, tier: Tier, seq: int) -> Column:
     else:
         share = (F.size(hits) / F.greatest(words, F.lit(1))).cast("float") * F.lit(100).cast("float")
         gate = share.cast("float") > F.lit(tier.max_density_pct).cast("float")
-    return F.when(gate & (F.size(hits) > 0), present).otherwise(_literal_array([], FINDING))
+    return F.when(gate & (F.size(hits) > 0), present).otherwise(_none())
 
 
-def phrase_findings(folded: Column, pack: Pack, seq: int) -> Column:
-    entries = [F.struct(F.lit(seq + i), F.lit(f"phrase:{p.match}"), F.lit(p.match), F.lit(p.category), F.lit(p.weight), F.lit(None)) for i, p in enumerate(pack.phrases)]
+def phrase_findings(text: Column, pack: Pack, seq: int) -> Column:
+    """Findings of the phrases in a text. It is folded only if an alternation of the phrases' beginnings is found in it, and
+    then once, as the one element of an array."""
+    entries = [_finding(seq + i, f"phrase:{p.match}", p.match, p.category, p.weight, None) for i, p in enumerate(pack.phrases) if p.match]
     if not entries:
-        return _literal_array([], FINDING)
-    heads = sorted({fold_str(p.match)[:12] for p in pack.phrases})
-    some = folded.rlike("|".join(quoted(h) for h in heads))
-    needles = F.create_map(*[F.lit(x) for p in pack.phrases for x in (p.match, fold_str(p.match))])
-    found = F.filter(_literal_array(entries, FINDING), lambda e: F.contains(folded, needles[e["matched"]]))
-    return F.when(some, found).otherwise(_literal_array([], FINDING))
+        return _none()
+    heads = sorted({e["needle"][:16] for e in entries})
+    some = text.rlike(starts(heads, True) + trie(heads, True))
+    keyed = _literals(entries, KEYED)
+
+    def held(folded: Column) -> Column:
+        return F.transform(F.filter(keyed, lambda e: F.contains(folded, e["needle"])), lambda e: e["f"])
+
+    return F.when(some, F.flatten(F.transform(F.array(fold(text)), held))).otherwise(_none())
+
+
+#: Literals of which one stands in every match of a detector, case aside. They only save time.
+HINTS = {
+    "negative-parallelism": ["not just", "not only", "not merely"], "its-not-x-its-y": ["s not "], "negative-listing": ["not a"], "copula-avoidance": ["serves as", "stands as", "boasts"], "oxford-triple": [", and "],
+    "ing-tail": ["highlighting", "underscoring", "emphasizing", "showcasing", "reflecting", "symbolizing", "ensuring", "fostering", "demonstrating", "illustrating", "solidifying", "cementing", "signaling"],
+    "vague-attribution": ["experts ", "studies show", "industry reports", "observers have", "some critics", "it is believed", "it is widely"], "hedging-stack": ["possibly", "potentially", "perhaps"],
+    "chatbot-artifact": ["i hope this", "great question", "excellent point", "let me know", "would you like", "feel free", "hesitate to", "happy to help", "absolutely right", "anything else"],
+    "cutoff-disclaimer": ["as of my", "knowledge cutoff", "while specific", "based on available", "maintains a low", "keeps personal"], "generic-conclusion": ["future looks", "exciting times", "only time", "possibilities are", "poised for", "watch this", "journey toward", "step in the"],
+    "significance-inflation": ["marking a", "a testament to", "serves as a", "underscor", "reflects broader", "setting the", "key turning", "evolving landscape", "indelible mark", "deeply rooted"],
+    "throat-clearing": ["s the thing", "s what you", "s dive in", "s explore", "s break ", "without further", "let that", "make no", "uncomfortable truth"], "authority-trope": ["at its core", "real question", "what really", "the heart of", "deeper issue"],
+    "vague-declarative": ["the implications", "the stakes", "the consequences", "the reasons"], "false-agency": ["the data", "the numbers", "the market", "the decision", "the culture", "the conversation"], "inline-header-list": ["**:"],
+}
 
 
 def java_pattern(d: Detector) -> str:
     return "(?Ud" + d.flags + ")" + d.pattern
 
 
+def _hinted(text: Column, d: Detector) -> Column | None:
+    """Whether a detector of the default pack can match at all."""
+    if d.id not in HINTS or (d.id, d.pattern) not in _KNOWN:
+        return None
+    # letters with a twin that only full case folding knows are left open
+    return text.rlike(re.sub(r"\[([SK])([sk])\]", r"[\1\2ſK]", trie(HINTS[d.id], True)))
+
+
+_KNOWN = {(d[0], d[1]) for d in DETECTORS}
+
+
 def matches(text: Column, d: Detector) -> Column:
     """What a detector matches, trimmed; the emoji detector gives its first match only."""
+    none = F.array().cast("array<string>")
     if d.id == "emoji":
         first = F.regexp_extract(text, d.pattern, 0)
-        return F.when(first == "", F.array().cast("array<string>")).otherwise(F.array(first))
-    return F.transform(F.regexp_extract_all(text, F.lit(java_pattern(d)), F.lit(0)), trimmed)
+        return F.when(first == "", none).otherwise(F.array(first))
+    found = F.transform(F.regexp_extract_all(text, F.lit(java_pattern(d)), F.lit(0)), trimmed)
+    hinted = _hinted(text, d)
+    return found if hinted is None else F.when(hinted, found).otherwise(none)
 
 
 def detector_findings(text: Column, d: Detector, seq: int) -> Column:
@@ -115,19 +153,19 @@ def ordered(found: Column) -> Column:
 
 def with_findings(df: DataFrame, pack: Pack, text: str = "text", to: str = "findings") -> DataFrame:
     """``df`` with the ordered findings of ``text``; null texts have none."""
-    base = df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_folded", fold(F.col("_text"))).withColumn("_words", word_count(F.col("_text")))
+    base = df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_words", word_count(F.col("_text")))
     parts, seq = [], 0
     for tier in pack.tiers:
-        base = base.withColumn(f"_hits{tier.number}", occurrences(F.col("_folded"), tier.words))
+        base = base.withColumn(f"_hits{tier.number}", occurrences(F.col("_text"), tier.words))
         parts.append(tier_findings(F.col(f"_hits{tier.number}"), F.col("_words"), tier, seq))
         seq += len(tier.words)
-    parts.append(phrase_findings(F.col("_folded"), pack, seq))
+    parts.append(phrase_findings(F.col("_text"), pack, seq))
     seq += len(pack.phrases)
     for d in pack.detectors:
         parts.append(detector_findings(F.col("_text"), d, seq))
         seq += 1
     out = base.withColumn("_all", F.concat(*parts)).withColumn(to, ordered(deduplicated(F.col("_all"))))
-    return out.drop("_text", "_folded", "_words", "_all", *[f"_hits{t.number}" for t in pack.tiers])
+    return out.drop("_text", "_words", "_all", *[f"_hits{t.number}" for t in pack.tiers])
 
 
 def _sum(found: Column, keep) -> Column:

@@ -13,7 +13,7 @@ from proseloom.functions.facts import fact_spans, protect, restore, violation
 from proseloom.functions.text import is_blank, spaced_words, word_count
 from proseloom.operators import chunk, detect, gates, score
 from proseloom.plans import prompts, rewrite
-from proseloom.session import table
+from proseloom.session import distinct_by, table
 from proseloom.sources.pack import DETECTORS, Detector, Pack, Tier, pack_from_tables
 from proseloom.streaming import jobs
 
@@ -29,7 +29,7 @@ FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ‘’', 'abcdefghijklmnopqrst
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record of clip_docs once."""
-    return table(spark, sf_dir, "clip_docs").select("doc_key", "text").distinct()
+    return distinct_by(table(spark, sf_dir, "clip_docs").select("doc_key", "text"), "doc_key")
 
 
 def _pack(spark: SparkSession, sf_dir: str) -> Pack:
@@ -61,7 +61,7 @@ def vocab_hits_by_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     pack, docs = _pack(spark, sf_dir), _derived(spark, sf_dir)
 
     def of_tier(t: Tier) -> Column:
-        return F.transform(detect.occurrences(detect.fold(F.col("text")), t.words), lambda w: F.struct(F.lit(t.number).alias("tier"), w.alias("word")))
+        return F.transform(detect.occurrences(F.col("text"), t.words), lambda w: F.struct(F.lit(t.number).alias("tier"), w.alias("word")))
 
     hits = [of_tier(t) for t in pack.tiers]
     found = docs.select("doc_key", F.explode_outer(F.concat(*hits)).alias("h")).where("h IS NOT NULL").select("doc_key", "h.*")
@@ -70,7 +70,7 @@ def vocab_hits_by_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     pack = _pack(spark, sf_dir)
-    found = _docs(spark, sf_dir).select(F.explode_outer(detect.phrase_findings(detect.fold(F.col("text")), pack, 0)).alias("f")).where("f IS NOT NULL")
+    found = _docs(spark, sf_dir).select(F.explode_outer(detect.phrase_findings(F.col("text"), pack, 0)).alias("f")).where("f IS NOT NULL")
     return found.groupBy(F.col("f.matched").alias("match_text")).agg(F.count("*").alias("docs"))
 
 
@@ -100,9 +100,8 @@ def tier_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each record, the words of the gated tiers that are there, and whether the gate lets them through."""
     pack = _pack(spark, sf_dir)
     found = detect.with_findings(_derived(spark, sf_dir), pack)
-    folded = detect.fold(F.col("text"))
     count = lambda n: F.size(F.filter("findings", lambda f: f["tier"] == n)).cast("long")
-    distinct = F.size(F.array_distinct(detect.occurrences(folded, pack.tiers[1].words))).cast("long")
+    distinct = F.size(F.array_distinct(detect.occurrences(F.col("text"), pack.tiers[1].words))).cast("long")
     return found.select("doc_key", distinct.alias("tier2_words"), (count(2) > 0).alias("tier2_passed"), (count(3) > 0).alias("tier3_passed"))
 
 
@@ -118,7 +117,7 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cleaned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both halves of every record after the mechanical fixes."""
-    docs = table(spark, sf_dir, "clip_docs").select("doc_key", "kind", "html", "text").distinct()
+    docs = distinct_by(table(spark, sf_dir, "clip_docs").select("doc_key", "kind", "html", "text"), "doc_key")
     return rewrite.clean_documents(docs, _pack(spark, sf_dir))
 
 
@@ -149,13 +148,13 @@ def protect_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def restored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The protected texts with their values put back."""
-    rows = table(spark, sf_dir, "protected_texts").distinct()
+    rows = distinct_by(table(spark, sf_dir, "protected_texts"), "doc_key")
     return rows.select("doc_key", F.md5(restore(F.col("text"), F.col("fact_values"))["text"].cast("binary")).alias("digest"))
 
 
 def restore_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is found wrong when the first token is dropped, repeated, or an unknown one is put to the end."""
-    rows = table(spark, sf_dir, "protected_texts").distinct()
+    rows = distinct_by(table(spark, sf_dir, "protected_texts"), "doc_key")
     cases = F.array(
         F.struct(F.lit("dropped").alias("change"), F.replace("text", F.lit("[[F00]]"), F.lit("")).alias("answer")),
         F.struct(F.lit("repeated").alias("change"), F.concat("text", F.lit("[[F00]]")).alias("answer")),
@@ -259,19 +258,19 @@ def busy_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "clip_docs").where("html IS NOT NULL").select("doc_key", "html").distinct()
+    rows = distinct_by(table(spark, sf_dir, "clip_docs").where("html IS NOT NULL").select("doc_key", "html"), "doc_key")
     return rows.select("doc_key", markup.shape("html").alias("s")).select("doc_key", *[F.col(f"s.{c}").cast("long").alias(c) for c in ("tables", "links", "list_items")])
 
 
 def shape_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What converting every page to Markdown and back loses: nothing."""
-    rows = table(spark, sf_dir, "clip_docs").where("html IS NOT NULL").select("doc_key", "html").distinct()
+    rows = distinct_by(table(spark, sf_dir, "clip_docs").where("html IS NOT NULL").select("doc_key", "html"), "doc_key")
     rows = rows.select("doc_key", markup.shape("html").alias("a"), markup.shape(markup.html_of(markup.markdown_of("html"))).alias("b"))
     return rows.select("doc_key", gates.lost(F.col("a"), F.col("b")).alias("lost"))
 
 
 def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "clip_docs").select("doc_key", "html", "text").distinct()
+    rows = distinct_by(table(spark, sf_dir, "clip_docs").select("doc_key", "html", "text"), "doc_key")
     return rows.select("doc_key", markup.preview("html", "text").alias("preview"))
 
 
@@ -282,7 +281,7 @@ def word_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def payload_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clipboard payloads of every page: their bytes, and whether the fragment comes back as it was."""
-    rows = table(spark, sf_dir, "clip_docs").where("html IS NOT NULL").select("doc_key", "html").distinct()
+    rows = distinct_by(table(spark, sf_dir, "clip_docs").where("html IS NOT NULL").select("doc_key", "html"), "doc_key")
     rows = rows.withColumn("payload", codecs.build_payload(F.col("html")))
     return rows.select("doc_key", F.octet_length("payload").cast("long").alias("bytes"), (codecs.parse_payload("payload") == F.col("html")).alias("same"))
 

@@ -60,3 +60,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its input has fewer splits than there are cores, as small files have; else as it is.
+
+    At scale an input has many more splits than cores, and nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def distinct_by(df: DataFrame, key: str) -> DataFrame:
+    """The distinct rows of ``df``, by one shuffle on ``key`` into as many parts as the session asks for.
+
+    The parts are not merged afterwards by their size, since what follows costs much more than reading them.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(parts, 1), key).distinct()
