@@ -6,22 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proseloom.llm.lookalike import lookalike_members
-from proseloom.session import table, written
+from proseloom.session import spread, table, written
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "clip_docs").select(F.lit("clip_docs").alias("tbl"), F.col("doc_key").alias("key"), "text")
+    docs = spread(table(spark, sf_dir, "clip_docs")).select(F.lit("clip_docs").alias("tbl"), F.col("doc_key").alias("key"), "text")
     rules = table(spark, sf_dir, "rules_phrase")
     return docs.unionByName(rules.select(F.lit("rules_phrase").alias("tbl"), F.col("phrase_id").alias("key"), F.col("match_text").alias("text")))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of records of one table that look the same and are not the same string."""
-    members = lookalike_members(_records(spark, sf_dir)).select("tbl", "key", "class_id", "_raw")
-    a = written(members, "lookalike-members")
-    b = a.select("tbl", "class_id", F.col("key").alias("key_b"), F.col("_raw").alias("_raw_b"))
-    pairs = a.join(b, ["tbl", "class_id"]).where("key < key_b AND _raw <> _raw_b")
-    return pairs.select("tbl", F.col("key").alias("key_a"), "key_b").distinct()
+    members = lookalike_members(_records(spark, sf_dir)).select("tbl", "key", "class_id", "_raw").distinct()
+    members = written(members, "lookalike-members")
+    # different strings of a class are paired first, then their records: copies of one string never meet each other
+    group = ["tbl", "class_id"]
+    strings = members.select(*group, "_raw").distinct()
+    pairs = strings.withColumnRenamed("_raw", "_a").join(strings.withColumnRenamed("_raw", "_b"), group).where("_a < _b")
+    left = pairs.join(members.select(*group, F.col("_raw").alias("_a"), F.col("key").alias("x")), [*group, "_a"])
+    both = left.join(members.select(*group, F.col("_raw").alias("_b"), F.col("key").alias("y")), [*group, "_b"]).where("x <> y")
+    return both.select("tbl", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
 
 
 def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from proseloom.llm.mixing import Quota, mix_report, mix_sources
 from proseloom.llm.tokens import count_tokens
-from proseloom.session import table, written
+from proseloom.session import spread, table, written
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[Quota]]:
-    sizes = count_tokens(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    sizes = count_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
     return mix_sources(written(sizes, "mix-sizes"), table(spark, sf_dir, "mix_targets"), "doc_id", "n_tokens")
 
 

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseloom.session import table
+from proseloom.session import spread, table
 
 
 def clip_docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """``clip_docs`` as (tbl, row_id, the named columns); rows delivered again are still there."""
-    df = table(spark, sf_dir, "clip_docs")
+    df = spread(table(spark, sf_dir, "clip_docs"))
     return df.select(F.lit("clip_docs").alias("tbl"), F.col("doc_key").cast("string").alias("row_id"), *columns)
 
 
 def corpus(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """``corpus`` as (tbl, row_id, the named columns); repeated rows are still there."""
-    return table(spark, sf_dir, "corpus").select(F.lit("corpus").alias("tbl"), F.col("id").alias("row_id"), *columns)
+    return spread(table(spark, sf_dir, "corpus")).select(F.lit("corpus").alias("tbl"), F.col("id").alias("row_id"), *columns)
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
