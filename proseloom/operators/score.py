@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proseloom.operators.running import before
 from proseloom.sources.pack import SCORER_EXTRAS, Pack
 
 SPANS = "array<struct<s: int, e: int, id: string, weight: int>>"
@@ -62,10 +63,11 @@ def islands(spans: Column) -> Column:
 
 def island_rows(rows: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """(keys, island, start, end, n) of intervals in rows: the union of those that overlap, for each key."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    high = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.withColumn("_new", (high.isNull() | (F.col(start) >= high)).cast("long")).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n"))
+    seen = before(rows, keys, [start, end], F.col(end), "_high")
+    seen = seen.withColumn("_new", (F.col("_high").isNull() | (F.col(start) >= F.col("_high"))).cast("long"))
+    numbered = before(seen, keys, [start, end], F.col("_new"), "_n", "sum")
+    numbered = numbered.withColumn("island", F.coalesce("_n", F.lit(0)) + F.col("_new"))
+    return numbered.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n"))
 
 
 def facts_lost(facts: Column, output: Column) -> Column:

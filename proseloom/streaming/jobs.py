@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from proseloom.operators.running import before
+
 OUT = "session string, job long, seq long, payload string"
 STATE = "job long, seq long"
 
@@ -19,11 +21,11 @@ STATE = "job long, seq long"
 def current_results(events: DataFrame) -> DataFrame:
     """Of (session, seq, kind, job, payload): the results whose job was the newest of its session when they arrived.
 
-    ``begin`` events raise the newest job; a ``result`` of an older one is dropped for good. Batch form, one window.
+    ``begin`` events raise the newest job; a ``result`` of an older one is dropped for good. Batch form; sequence numbers are distinct within a session.
     """
-    w = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    newest = F.max(F.when(F.col("kind") == "begin", F.col("job"))).over(w)
-    return events.withColumn("_n", newest).where("kind = 'result' AND job = _n").select("session", "job", "seq", "payload")
+    begun = F.when(F.col("kind") == "begin", F.col("job"))
+    newest = before(events, ["session"], ["seq"], begun, "_n")
+    return newest.where("kind = 'result' AND job = _n").select("session", "job", "seq", "payload")
 
 
 def current_results_stream(events: DataFrame) -> DataFrame:
@@ -58,9 +60,8 @@ def latest_job(events: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 def changed_only(events: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Events whose value differs from the one before: what a poll with a change number would see."""
-    w = Window.partitionBy(key).orderBy(order)
-    before = F.lag(value).over(w)
-    return events.where(F.lit(True)).withColumn("_b", before).where(F.col("_b").isNull() | (F.col("_b") != F.col(value))).drop("_b")
+    last = before(events, [key], [order], F.struct(F.col(order).alias("o"), F.col(value).alias("v")), "_b")
+    return last.where(F.col("_b").isNull() | (F.col("_b.v") != F.col(value))).drop("_b")
 
 
 def in_flight(events: DataFrame, session: str = "session", order: str = "seq") -> DataFrame:
@@ -74,12 +75,10 @@ def in_flight(events: DataFrame, session: str = "session", order: str = "seq") -
 
 def idle_sessions(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
     """(key, session, started, ended, n): runs of events with no pause of ``gap_seconds`` or more."""
-    w = Window.partitionBy(key).orderBy(ts)
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    pause = at - F.lag(at).over(w)
-    marked = events.select(key, ts).withColumn("_new", F.coalesce((pause >= gap_seconds * 1_000_000).cast("long"), F.lit(1)))
-    marked = marked.withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return marked.groupBy(key, "session").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("n"))
+    rows = before(events.select(key, ts, F.unix_micros(F.col(ts).cast("timestamp")).alias("_at")), [key], ["_at"], F.col("_at"), "_last")
+    rows = rows.withColumn("_new", F.coalesce((F.col("_at") - F.col("_last") >= gap_seconds * 1_000_000).cast("long"), F.lit(1)))
+    rows = before(rows, [key], ["_at"], F.col("_new"), "_n", "sum").withColumn("session", F.coalesce("_n", F.lit(0)) + F.col("_new"))
+    return rows.groupBy(key, "session").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("n"))
 
 
 def idle_sessions_stream(events: DataFrame, key: str, ts: str, gap: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
