@@ -105,3 +105,26 @@ def top_hits(rows: DataFrame, spans: str, k: int = 6) -> DataFrame:
 def sample_means(rows: DataFrame, value: str) -> DataFrame:
     """Mean of ``value`` for each id and model."""
     return rows.groupBy("id", "model").agg(F.avg(value).alias("mean"))
+
+
+def sample_table(rows: DataFrame, value: str, models: list[str]) -> DataFrame:
+    """The same as one column for each of ``models``."""
+    return rows.groupBy("id").pivot("model", models).agg(F.avg(value))
+
+
+def corpus_totals(rows: DataFrame) -> DataFrame:
+    """Tells of the samples as they came and after the rules alone, from the rows of the first model by name.
+
+    ``rows`` has counts as ``input`` and ``baseline``; a sample counts once, however often it was run.
+    """
+    first = rows.agg(F.min("model")).first()[0]
+    own = rows.where(F.col("model").eqNullSafe(F.lit(first)))
+    return own.groupBy("id").agg(F.min_by("input", "run").alias("input"), F.min_by("baseline", "run").alias("baseline")).agg(
+        F.count("*").alias("samples"), F.coalesce(F.sum("input"), F.lit(0)).alias("input"), F.coalesce(F.sum("baseline"), F.lit(0)).alias("baseline")
+    )
+
+
+def probe_totals(rows: DataFrame) -> DataFrame:
+    """For each model: probe scores before and after, and rejections; a rejected run keeps its score before."""
+    after = F.when(F.col("rejected").isNotNull() | F.col("after").isNull(), F.col("before")).otherwise(F.col("after"))
+    return rows.groupBy("model").agg(F.sum("before").alias("before"), F.sum(after).alias("after"), F.count("rejected").alias("rejected"))

@@ -247,6 +247,21 @@ def surviving_tells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.top_hits(_bench(spark, sf_dir).select("model", spans("output").alias("spans")), "spans")
 
 
+def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tells of the benchmark's samples, raw and after the rules alone."""
+    spans = score.tell_spans(_pack(spark, sf_dir))
+    rows = _bench(spark, sf_dir).select("model", "run", "id", *[score.islands(spans(c)).alias(c) for c in ("input", "baseline")])
+    return score.corpus_totals(rows)
+
+
+def probe_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probe scores of inputs and outputs by model."""
+    pack = _pack(spark, sf_dir)
+    rows = detect.with_findings(detect.with_findings(_bench(spark, sf_dir).select("model", "rejected", "input", "output"), pack, "input", "_a"), pack, "output", "_b")
+    rows = rows.select("model", "rejected", detect.probe_score(F.col("_a")).alias("before"), F.when(F.col("output").isNotNull(), detect.probe_score(F.col("_b"))).alias("after"))
+    return score.probe_totals(rows)
+
+
 def busy_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stretches of time in which rewrites of one model overlapped."""
     rows = _bench(spark, sf_dir).where("ms IS NOT NULL AND finished_at IS NOT NULL")
@@ -318,7 +333,7 @@ def current_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NAMES = [
     doc_word_count, vocab_hits_by_tier, phrase_hits, regex_findings, findings, finding_scores, tier_gates, finding_checklists, cleaned, cleaned_documents, dash_counts, fact_kinds, protected_docs, protect_roundtrip, restored_texts, restore_violations,
-    chunk_sizes, too_long_docs, answer_gates, kept_paragraphs, answer_decisions, prompt_targets, latest_bench_rows, latest_docs, model_rollup, rejection_reasons, sample_means, model_tells, surviving_tells, busy_islands,
+    chunk_sizes, too_long_docs, answer_gates, kept_paragraphs, answer_decisions, prompt_targets, latest_bench_rows, latest_docs, model_rollup, rejection_reasons, sample_means, model_tells, surviving_tells, corpus_totals, probe_totals, busy_islands,
     page_shapes, shape_losses, previews, word_diffs, payload_sizes, latest_job, idle_sessions, changed_events, current_results,
 ]
 

@@ -72,3 +72,23 @@ def test_rollups(spark):
     assert score.model_rollup(df.limit(0)).count() == 0
     twice = spark.createDataFrame([("k", 1, "old"), ("k", 2, "new"), ("k", 2, "new")], "k string, t int, v string")
     assert [tuple(x) for x in score.latest(twice, ["k"], "t").collect()] == [("k", 2, "new")]
+
+
+def test_totals(spark):
+    rows = spark.createDataFrame([("b", 0, "i", 9, 9), ("a", 1, "i", 3, 1), ("a", 0, "i", 3, 1), ("a", 0, "j", 2, 2)], "model string, run int, id string, input long, baseline long")
+    assert tuple(score.corpus_totals(rows).first()) == (2, 5, 3) and tuple(score.corpus_totals(rows.limit(0)).first()) == (0, 0, 0)
+    probe = spark.createDataFrame([("m", None, 5, 2), ("m", "why", 4, 1), ("m", None, 3, None)], "model string, rejected string, before long, after long")
+    assert tuple(score.probe_totals(probe).first()) == ("m", 12, 9, 1)
+    wide = score.sample_table(rows, "input", ["a", "b"]).orderBy("id").collect()
+    assert (wide[0].a, wide[0].b, wide[1].b) == (3.0, 9.0, None)
+
+
+def test_sql_functions(spark):
+    from proseloom.functions.register import register, register_spans
+
+    names = register(spark, PACK)
+    assert len(names) == 10
+    row = spark.sql("SELECT fold_text('ÀB’s') AS f, count_words('a b-c') AS n, clean_text('In order to go') AS c, count_fixes('a – b') AS x, protect_text('£5').text AS p, html_shape('<li>a</li>').list_items AS li").first()
+    assert tuple(row) == ("Àb's", 2, "To go", 1, "[[F00]]", 1)
+    register_spans(spark)
+    assert [tuple(r) for r in spark.sql("SELECT kind, value FROM fact_rows('Pay £5 by 2024-01-30')").collect()] == [("money", "£5"), ("iso_date", "2024-01-30")]
