@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ from proseloom.session import written
 MAX_LABELS = 6_000
 SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+|\n+|(?<=[。！？])")
 WORD = re.compile(r"[a-z]+(?:'[a-z]+)?")
+LETTERS = re.compile(r"[^\W\d_]+")
 VOWELS = re.compile(r"[aeiouy]+")
 # Frequent English function words, connectives and subordinators, and endings of learned words.
 FUNCTION = frozenset(
@@ -50,25 +52,31 @@ _SOURCE, _TARGET = mapping()
 _PLAIN = {ord(c): (_TARGET[i] if i < len(_TARGET) else None) for i, c in enumerate(_SOURCE)} | {ord(a): b for a, b in LIGATURES} | {0x2019: "'"}
 
 
+@lru_cache(maxsize=200_000)
+def word(w: str) -> tuple[int, int, bool, bool, bool, bool, bool, bool]:
+    """Letters and syllables of a word, and whether it is long, very long, a function word, learned, a subordinator, a link."""
+    syllables = max(1, len(VOWELS.findall(w)) - (w.endswith("e") and not w.endswith("le") and len(w) > 3))
+    return len(w), syllables, len(w) >= 7, len(w) >= 11, w in FUNCTION, len(w) > 5 and LEARNED.search(w) is not None, w in SUBORDINATE, w in LINKS
+
+
 @lru_cache(maxsize=50_000)
 def sentence(text: str) -> tuple[tuple[float, ...], frozenset[str], int, int] | None:
     """The measures of an English sentence, its content words, connectives and words; a word count where it is not English."""
+    letters = len(text) - len(LETTERS.sub("", text))
+    if letters < 0.6 * len(text):
+        return (), frozenset(), 0, 0
     words = WORD.findall(text.lower())
-    letters = sum(c.isalpha() for c in text)
-    if len(words) < 3 or sum(map(len, words)) < 0.8 * letters or letters < 0.6 * len(text):
-        return (), frozenset(), 0, letters if letters >= 0.6 * len(text) else 0
+    if len(words) < 3 or sum(map(len, words)) < 0.8 * letters:
+        return (), frozenset(), 0, letters
     n = len(words)
-    function = sum(w in FUNCTION for w in words)
+    size, syllables, long, very_long, function, learned, subordinate, links = map(sum, zip(*map(word, words)))
     if function < 0.12 * n:
         return (), frozenset(), 0, letters
-    size = [len(w) for w in words]
-    syllables = sum(max(1, len(VOWELS.findall(w)) - (w.endswith("e") and not w.endswith("le") and len(w) > 3)) for w in words)
     measures = (
-        n, sum(size) / n, syllables / n, sum(s >= 7 for s in size) / n, sum(s >= 11 for s in size) / n, function / n,
-        sum(LEARNED.search(w) is not None for w in words if len(w) > 5) / n, sum(w in SUBORDINATE for w in words),
+        n, size / n, syllables / n, long / n, very_long / n, function / n, learned / n, subordinate,
         text.count(",") + text.count(";") + text.count(":"), 0.39 * n + 11.8 * syllables / n - 15.59,
     )
-    return measures, frozenset(w for w in words if w not in FUNCTION), sum(w in LINKS for w in words), letters
+    return measures, frozenset(words) - FUNCTION, links, letters
 
 
 def features(text: str | None) -> list[float] | None:
@@ -92,11 +100,11 @@ def features(text: str | None) -> list[float] | None:
     if not rows or english < other:
         return None
     m = np.array(rows)
-    q = np.quantile(m, QUANTILES, axis=0)
+    q = np.sort(m, axis=0)[[int(p * (len(m) - 1) + 0.5) for p in QUANTILES]]
     out = np.concatenate([m.mean(0)[None, :], q]).T.ravel().tolist()
     words = float(m[:, 0].sum())
     seen = set().union(*sets)
-    overlap = [len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(sets, sets[1:])]
+    overlap = [len(a & b) / max(1, min(len(a), len(b))) for a, b in pairwise(sets)]
     grade = m[:, -1]
     return out + [
         float((grade > 14).mean()), float((grade > 18).mean()), len(seen) / max(1, sum(map(len, sets))),
