@@ -98,7 +98,7 @@ def _rejected(kind: str | Column, message: Column) -> Column:
     return F.when(message.isNotNull(), F.struct(kind.alias("kind"), message.alias("message")))
 
 
-def judge(parts: DataFrame, answers: DataFrame, pack: Pack, mode: str = "unslop") -> DataFrame:
+def judge(parts: DataFrame, answers: DataFrame, pack: Pack, mode: str = "edit") -> DataFrame:
     """(doc_id, chunk, part, final, rejected, draw) for every group: the first draw that passes, or why the first one fails.
 
     A second draw is looked at only where the first one failed in a way that another draw can mend.
@@ -106,13 +106,13 @@ def judge(parts: DataFrame, answers: DataFrame, pack: Pack, mode: str = "unslop"
     drop = mode == "tldr"
     held = parts.withColumn("_p", protect("part"))
     both = held.join(answers.where("stage = 'edit'"), ["doc_id", "chunk"], "left")
-    r = restore(F.col("answer"), F.col("_p.values"), may_drop=mode != "unslop")
+    r = restore(F.col("answer"), F.col("_p.values"), may_drop=mode != "edit")
     both = both.withColumn("_r", r).withColumn("_t", F.col("_r.text"))
-    if mode != "unslop":
+    if mode != "edit":
         both = both.withColumn("_t", keep_paragraphs(F.col("part"), F.col("_t")))
     both = clean_texts(both, pack, "_t", "_clean", "_fixes")
     fault = F.when(F.col("_r.violation").isNotNull(), F.concat(F.lit("a protected value was "), F.col("_r.violation.kind")))
-    if mode == "unslop":
+    if mode == "edit":
         gate = answer_gate(F.col("part"), F.col("_t"))
     else:
         talk = F.when(commentary(F.col("part"), F.col("_t")), "the rewrite talked about the task instead of doing it")
@@ -120,7 +120,7 @@ def judge(parts: DataFrame, answers: DataFrame, pack: Pack, mode: str = "unslop"
     both = both.withColumn("_before", shape(html_of("part"))).withColumn("_after", shape(html_of(F.coalesce("_clean", F.lit("")))))
     structure = F.lit(None).cast("string") if drop else lost(F.col("_before"), F.col("_after"))
     style = F.lit(None).cast("string")
-    if mode == "unslop":
+    if mode == "edit":
         both = with_findings(both, pack, "part", "_f0")
         both = with_findings(both, pack, "_clean", "_f1")
         style = style_gate(gate_score(F.col("_f0")), gate_score(F.col("_f1")))
@@ -163,7 +163,7 @@ def assemble(judged: DataFrame, parts: DataFrame) -> DataFrame:
     return out.select("doc_id", F.when(failed.isNull(), F.col("text")).alias("text"), failed.alias("rejected"), F.coalesce("n_refused", F.lit(0)).cast("long").alias("n_refused"))
 
 
-def rewrite(docs: DataFrame, answers: DataFrame, pack: Pack, mode: str = "unslop", target: int = CHUNK_CHARS, ceiling: int = CEILING, total: int = MAX_TOTAL) -> DataFrame:
+def rewrite(docs: DataFrame, answers: DataFrame, pack: Pack, mode: str = "edit", target: int = CHUNK_CHARS, ceiling: int = CEILING, total: int = MAX_TOTAL) -> DataFrame:
     """(doc_id, text, rejected, n_refused) of (doc_id, text): the published text, or why the baseline stands."""
     parts = split_documents(docs, "text", target, ceiling, total)
     judged = judge(parts.where("part IS NOT NULL").select("doc_id", "chunk", "part"), answers, pack, mode)
