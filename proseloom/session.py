@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -37,7 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named
     own = os.path.join(tempfile.gettempdir(), f"proseloom-{os.getpid()}")
-    os.makedirs(own, exist_ok=True)
+    if not os.path.isdir(own):
+        os.makedirs(own)
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
     return f"file://{own}"
 
 
