@@ -39,28 +39,34 @@ _DROP = dict.fromkeys(map(ord, _SOURCE[len(_TARGET) :])) | {ord(a): b for a, b i
 _ODD = re.compile("[" + re.escape("".join(map(chr, _DROP))) + "]")
 
 _UP, _LOW = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
+# Kana, ideographs and Hangul may stand directly beside an item, and so may the full stops and commas after them, which a
+# view shows as plain ones; every other letter or digit (_IN) goes on with a word.
+_CJK = "々-〇ぁ-ヿ㐀-䶿一-鿿豈-﫿가-힣ｦ-ﾟ\U00020000-\U0003FFFF"
+_IN = "_" + "".join(f"{m[0]}-{m[-1]}" for m in re.findall(rf"(?:(?![{_CJK}])[^\W_])+", "".join(chr(c) for c in range(0x10000)))) + "\U00010000-\U0001FFFF"
+_GLUED = re.compile(f"[{_CJK}]")
+_after = lambda signs: rf"(?:(?<![{_IN}{signs}])|(?<=[{_CJK}][.,]))"
 _WORD = rf"[{_UP}][{_LOW}]+"
-_UNIT = r"(?:Flat|Apt|Apartment|Unit|Suite|Room|Floor)\.?\s\w{1,5}"
+_UNIT = rf"(?:Flat|Apt|Apartment|Unit|Suite|Room|Floor)\.?\s[{_IN}]{{1,5}}"
 _CITY = rf"[{_UP}][{_LOW}]+(?:[ -][{_UP}][{_LOW}]+)?"
 EMAIL = re.compile(
-    r"(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}\s?(?:@|[(\[{]\s?at\s?[)\]}])\s?[A-Za-z0-9-]+(?:(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?)[A-Za-z0-9-]+)*", re.IGNORECASE
+    _after(".+-") + rf"[A-Za-z0-9][{_IN}.+-]{{0,63}}" + r"\s?(?:@|[(\[{]\s?at\s?[)\]}])\s?[A-Za-z0-9-]+(?:(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?)[A-Za-z0-9-]+)*", re.IGNORECASE
 )
-DIGITS = re.compile(r"(?<![\w.,/-])([A-Z]{1,2}[ -]?)?(\+?\(?\d(?:(?!\.\s|\s\d{4}-\d\d-|\s\d{1,2}/\d)[\d ().\-/]){4,24}\d)([ -]?[A-Z](?![\w]))?((?:,?\s?(?:ext\.?|x|Durchwahl|poste)\s?)\d{1,5})?")
+DIGITS = re.compile(_after(".,/-") + r"([A-Z]{1,2}[ -]?)?(\+?\(?\d(?:(?!\.\s|\s\d{4}-\d\d-|\s\d{1,2}/\d)[\d ().\-/]){4,24}\d)([ -]?[A-Z]" + rf"(?![{_IN}])" + r")?((?:,?\s?(?:ext\.?|x|Durchwahl|poste)\s?)\d{1,5})?")
 ADDRESS = [
     re.compile(
-        rf"(?<!\w)(?:{_UNIT},\s)?\d{{1,5}},?\s(?:(?:[NSEW]\.?|rue|de|la|le|du|des|via|rua|calle|avenue|place)\s){{0,3}}{_WORD}(?:\s{_WORD})?(?:\s[{_UP}][a-z]+\.?)?"
+        rf"(?<![{_IN}])(?:{_UNIT},\s)?\d{{1,5}},?\s(?:(?:[NSEW]\.?|rue|de|la|le|du|des|via|rua|calle|avenue|place)\s){{0,3}}{_WORD}(?:\s{_WORD})?(?:\s[{_UP}][a-z]+\.?)?"
         rf"(?:[,\n]\s?{_UNIT})?(?:[,.]?\s?[,\n]\s?{_CITY}(?:,?\s(?:[A-Z]{{1,2}}\d[A-Z\d]?\s\d[A-Z]{{2}}|[A-Z]{{2}}\s\d{{5}}|\d{{4,5}}))?)?"
     ),
     re.compile(
-        rf"(?<!\w)(?:Calle|Via|Viale|Rua|Avenida|Av\.|Plaza|Piazza|Rue|Corso|ul\.|Praça)\s(?:(?:de|da|do|dos|del|della|la)\s){{0,2}}{_WORD}(?:\s{_WORD})?,?\s\d{{1,5}}"
-        rf"(?:,\s\d{{1,2}}\.?[ºª°]\s?\w*)?(?:,\s(?:\d{{4,5}}\s)?{_CITY})?"
+        rf"(?<![{_IN}])(?:Calle|Via|Viale|Rua|Avenida|Av\.|Plaza|Piazza|Rue|Corso|ul\.|Praça)\s(?:(?:de|da|do|dos|del|della|la)\s){{0,2}}{_WORD}(?:\s{_WORD})?,?\s\d{{1,5}}"
+        rf"(?:,\s\d{{1,2}}\.?[ºª°]\s?[{_IN}]*)?(?:,\s(?:\d{{4,5}}\s)?{_CITY})?"
     ),
-    re.compile(rf"(?<!\w)[{_UP}][{_LOW}]+(?:straße|strasse|str\.|weg|platz|allee|gasse|ufer)\s\d{{1,4}}[a-z]?(?:,?\s\d{{4,5}}\s{_CITY})?"),
+    re.compile(rf"(?<![{_IN}])[{_UP}][{_LOW}]+(?:straße|strasse|str\.|weg|platz|allee|gasse|ufer)\s\d{{1,4}}[a-z]?(?:,?\s\d{{4,5}}\s{_CITY})?"),
 ]
 _TITLE = r"(?:(?:Dr|Mr|Mrs|Ms|Prof|Herr|Frau|Sr|Sra|Sig|Dott|Mme|M)\.?\s)?"
 NAME = [
-    re.compile(rf"(?<![\w.@+-])(?=({_TITLE}(?:{_WORD}|[{_UP}]\.)(?:\s[{_UP}]\.)?\s{_WORD}(?:-{_WORD})?)(?![\w@]))"),
-    re.compile(rf"(?<![\w.@+-])(?=({_WORD}(?:-{_WORD})?,\s{_WORD})(?![\w@]))"),
+    re.compile(_after(".@+-") + rf"(?=({_TITLE}(?:{_WORD}|[{_UP}]\.)(?:\s[{_UP}]\.)?\s{_WORD}(?:-{_WORD})?)(?![{_IN}@]))"),
+    re.compile(_after(".@+-") + rf"(?=({_WORD}(?:-{_WORD})?,\s{_WORD})(?![{_IN}@]))"),
 ]
 
 # Cue words and key words of the languages at hand.
@@ -126,7 +132,7 @@ def propose(plain: str) -> Iterator[tuple[str, int, int]]:
 
 
 def _class(c: str) -> int:
-    return 0 if not c else 1 if c.isalnum() else 2 if c.isspace() else 3 if c in ".,;:!?)" else 4 if c in "([\"'" else 5 if c in "-/_#" else 6
+    return 0 if not c else 7 if _GLUED.match(c) else 1 if c.isalnum() else 2 if c.isspace() else 3 if c in ".,;:!?)" else 4 if c in "([\"'" else 5 if c in "-/_#" else 6
 
 
 def words_of(value: str) -> tuple[str, str]:

@@ -14,6 +14,14 @@ NEGATIVE = [
     "Random Forest beat Gradient Boost by 0.004.", "The serial is 4402/1183/77-B.", "6 March 2023", "1735691098,709,0.5316,ok", "PO96793", "TKT-7444", "", " ", "x" * 100_000, "1 " * 20_000,
 ]
 
+GLUED = {
+    "email": ("連絡先は", "jthrelling@example.org", "です。"),
+    "phone": ("それは終わりました。電話は", "+81 3-5550-0123", "です。"),
+    "id_number": ("身分証の番号は", "93383278I", "です。"),
+    "address": ("住所は", "12 Brackwell Street, Apt 3, Tarnford", "です。"),
+    "name": ("担当は", "Tarek Oduvane", "です。"),
+}
+
 
 @pytest.fixture(scope="module")
 def model():
@@ -53,3 +61,18 @@ def test_measures_have_one_length():
         for t in texts:
             for kind, a, z in propose(t):
                 assert len(measure(t, kind, a, z)) == FEATURES
+
+
+def test_items_glued_to_japanese_text(spark, model):
+    rows = [("clip_docs", k, 0, "".join(v)) for k, v in GLUED.items()] + [("clip_docs", f"no-{i}", 0, f"値は{t}です。") for i, t in enumerate(["PO96793", "2026-08-25", "3.11.4"])]
+    items = spark.createDataFrame(rows, "tbl string, row_id string, item int, text string")
+    spans = pii_spans(items, model)
+    assert {(r.row_id, r.kind) for r in spans.collect()} == {(k, k) for k in GLUED}
+    out = {r.row_id: r.redacted for r in redact(items, spans).collect()}
+    assert all(out[k] == f"{a}[{k.upper()}]{z}" for k, (a, _, z) in GLUED.items())
+
+
+def test_kana_and_their_signs_end_a_word():
+    found = {(k, "IDはjane@a.example、番号は、28410102Iに。"[a:z]) for k, a, z in propose(view("IDはjane@a.example、番号は、28410102Iに。")[0])}
+    assert ("email", "jane@a.example") in found and ("id_number", "28410102I") in found
+    assert not any(k == "phone" for k, _, _ in propose("1,4155550132"))
