@@ -3,7 +3,9 @@
 Each English sentence of running text is measured (length, vocabulary, syntax); a document's features are the
 distributions of these measures over its sentences, its vocabulary's variety, and the cohesion of adjoining sentences.
 Trees are fitted to the labelled rows, after the raters' own offsets were estimated and taken off. Out-of-fold predictions,
-with whole sources held out in turn, give the calibration to the scale of the labels and the threshold of the highest band.
+with whole sources (applications of ``clip_docs``, kinds of text of ``corpus``) held out in turn, give the calibration to the
+scale of the labels and the threshold of the highest band. What is reported of a fold comes from the calibration and the
+threshold of the other folds.
 
 Sentences that are not English prose (other languages, log lines, tables, lines made of numbers and links) are not
 measured. Defined results: null, empty and blank texts, and texts whose prose is mostly not English, have no level (null);
@@ -14,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import pairwise
 
@@ -113,15 +115,20 @@ def features(text: str | None) -> list[float] | None:
 
 
 def level_features(texts: DataFrame) -> DataFrame:
-    """(tbl, row_id, features) of the rows of (tbl, row_id, text) that have English prose, each once."""
+    """(tbl, row_id, features, source) of the rows of (tbl, row_id, text, source) that have English prose, each once.
+
+    Without a column ``source`` each table is one source.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float32()))], names=["tbl", "row_id", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float32())), batch.column(3)], names=["tbl", "row_id", "features", "source"])
 
-    found = texts.select("tbl", "row_id", "text").where("text IS NOT NULL AND text <> ''")
-    return found.mapInArrow(run, "tbl string, row_id string, features array<float>").where("features IS NOT NULL").dropDuplicates(["tbl", "row_id"])
+    source = "source" if "source" in texts.columns else F.col("tbl").alias("source")
+    found = texts.select("tbl", "row_id", "text", source).where("text IS NOT NULL AND text <> ''")
+    found = found.mapInArrow(run, "tbl string, row_id string, features array<float>, source string").where("features IS NOT NULL")
+    return found.groupBy("tbl", "row_id").agg(F.first("features").alias("features"), F.min("source").alias("source"))
 
 
 @dataclass
@@ -131,6 +138,7 @@ class LevelModel:
     values: np.ndarray
     cut: float
     report: dict[str, float]
+    by_source: dict[str, float] = field(default_factory=dict)
 
     def grade(self, x: np.ndarray) -> np.ndarray:
         """Levels on the scale of the labels."""
@@ -141,10 +149,12 @@ def fit_levels(x: np.ndarray, band: np.ndarray, rater: np.ndarray, source: np.nd
     """Trees for rows of features with a band each; ``source`` names what is held out together."""
     if len(band) < 40:
         return None
-    fold = folds(source, 3) if len(set(source)) >= 3 else np.arange(len(band)) % 3
+    n_folds = min(3, len(set(source)))
+    # a single source can't be held out
+    fold, n_folds = (folds(source, n_folds), n_folds) if n_folds > 1 else (np.arange(len(band)) % 3, 3)
     target, oof = band.astype(float), np.zeros(len(band))
     for _ in range(2):  # the second time without the raters' offsets
-        for k in range(3):
+        for k in range(n_folds):
             if (fold == k).any():
                 oof[fold == k] = Boost(rounds=60, depth=3, rate=0.15).fit(x[fold != k], target[fold != k]).predict(x[fold == k])
         for r in set(rater):
@@ -153,15 +163,19 @@ def fit_levels(x: np.ndarray, band: np.ndarray, rater: np.ndarray, source: np.nd
                 target[mine] = band[mine] - np.clip(np.mean(band[mine] - oof[mine]), -1, 1)
     trees = Boost(rounds=120, depth=3).fit(x, target)
     knots, values = isotonic(oof, target)
-    error = float(np.abs(np.interp(oof, knots, values) - target).mean())
     cut = best_cut(oof, band >= top)
-    hit = oof >= cut
-    found = {"rows": float(len(band)), "mean_error": error, "precision": float((band[hit] >= top).mean()) if hit.any() else 0.0, "recall": float(hit[band >= top].mean()) if (band >= top).any() else 0.0}
-    return LevelModel(trees, knots, values, cut, found)
+    level, hit = np.zeros(len(band)), np.zeros(len(band), dtype=bool)
+    for k in range(n_folds):
+        mine = fold == k
+        level[mine] = np.interp(oof[mine], *isotonic(oof[~mine], target[~mine]))
+        hit[mine] = oof[mine] >= best_cut(oof[~mine], band[~mine] >= top)
+    error = np.abs(level - target)
+    found = {"rows": float(len(band)), "mean_error": float(error.mean()), "precision": float((band[hit] >= top).mean()) if hit.any() else 0.0, "recall": float(hit[band >= top].mean()) if (band >= top).any() else 0.0}
+    return LevelModel(trees, knots, values, cut, found, {str(s): float(error[source == s].mean()) for s in sorted(set(source))})
 
 
 def train_levels(found: DataFrame, labels: DataFrame, most: int = MAX_LABELS) -> LevelModel | None:
-    """The model for the labelled rows among ``found`` (tbl, row_id, features); at most ``most`` rows are used."""
+    """The model for the labelled rows among ``found`` (tbl, row_id, features, source); at most ``most`` rows are used."""
     usable = labels.where("band BETWEEN 1 AND 5").select("tbl", "row_id", "band", F.coalesce("rater", F.lit("")).alias("rater"))
     chosen = usable.withColumn("_h", F.xxhash64("tbl", "row_id")).orderBy("_h", "tbl", "row_id", "rater", "band").limit(most)
     rows = chosen.join(found, ["tbl", "row_id"]).orderBy("_h", "tbl", "row_id", "rater", "band").collect()
@@ -169,19 +183,15 @@ def train_levels(found: DataFrame, labels: DataFrame, most: int = MAX_LABELS) ->
         return None
     x = np.array([r.features for r in rows])
     band, rater = np.array([r.band for r in rows]), np.array([r.rater for r in rows])
-    # a source: the rows of one table with one leading part of their ids; twenty of them
-    source = np.array([f"{r.tbl}-{hash_group(r.row_id)}" for r in rows])
+    source = np.array([f"{r.tbl}-{r.source or ''}" for r in rows])
     return fit_levels(x, band, rater, source)
 
 
-def hash_group(row_id: str, n: int = 10) -> int:
-    return sum(map(ord, row_id)) % n
-
-
 def graded(texts: DataFrame, labels: DataFrame) -> DataFrame:
     """(tbl, row_id, level, is_top) of every row with English prose."""
     found = written(level_features(texts), "level-features")
     model = train_levels(found, labels)
+    found = found.select("tbl", "row_id", "features")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

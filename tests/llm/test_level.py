@@ -1,7 +1,9 @@
 import numpy as np
 
+from proseloom.llm import level
 from proseloom.llm.boost import Boost, best_cut, folds, isotonic
 from proseloom.llm.level import FEATURES, features, graded
+from proseloom.llm.level_queries import p1_levels
 
 EASY = ["The dog runs to the hill.", "We all go in and it is fun.", "A cat sits by the door now.", "The boy has a red ball."]
 HARD = [
@@ -54,3 +56,28 @@ def test_levels(spark):
     for _, i, text in rows[:160]:
         assert got[i].is_top == (text[:3] not in ("The", "We ", "A c") or "dichotomy" in text or "epistem" in text or "normative" in text)
     assert graded(texts, frame.limit(0)).count() == 0 and graded(texts.limit(0), frame).count() == 0
+
+
+def test_whole_sources_are_held_out(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(2)
+    apps, kinds = ["mail", "Mail ", "wiki", None, " ", "UNKNOWN"], ["how-to", "blog-draft"]
+    text = lambda hard: " ".join(str(rng.choice(HARD if hard else EASY)) for _ in range(6))
+    docs = [(i, text(i % 2), apps[i % 6]) for i in range(60)]
+    rows = [(f"{kinds[i % 2]}-{i:07}", text(i % 4 < 2)) for i in range(40)]
+    labels = [("clip_docs", str(i), 5 if i % 2 else 1, "r1") for i in range(60)] + [("corpus", k, 5 if i % 4 < 2 else 1, "r2") for i, (k, _) in enumerate(rows)]
+    spark.createDataFrame(docs, "doc_key long, text string, app string").write.parquet(f"{tmp_path}/clip_docs.parquet")
+    spark.createDataFrame(rows, "id string, text string").write.parquet(f"{tmp_path}/corpus.parquet")
+    spark.createDataFrame(labels, "tbl string, row_id string, band int, rater string").write.parquet(f"{tmp_path}/level_labels.parquet")
+    seen = []
+    monkeypatch.setattr(level, "folds", lambda groups, n: seen.append(set(groups)) or folds(groups, n))
+    assert p1_levels(spark, str(tmp_path)).count() == 100
+    assert seen == [{"clip_docs-mail", "clip_docs-wiki", "clip_docs-unknown", "corpus-how-to", "corpus-blog-draft"}]
+
+
+def test_error_by_source_is_held_out():
+    # the labels of one source follow a rule of their own, which a model can't know that has not seen it
+    rng = np.random.default_rng(3)
+    x, source = rng.normal(size=(600, 4)), np.repeat(["a", "b", "c", "odd"], 150)
+    band = np.where((x[:, 0] > 0) != (source == "odd"), 5, 1)
+    model = level.fit_levels(x, band, np.full(600, "r"), source)
+    assert set(model.by_source) == {"a", "b", "c", "odd"} and model.by_source["odd"] > 2
