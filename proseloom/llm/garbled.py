@@ -12,7 +12,8 @@ was garbled twice looks like this).
 
 Evidence. A unit is garbled if the corpus has its original UNIT_RATIO times as often as the unit. A word is garbled if its
 original is RATIO times as frequent in the corpus as it is itself, so that real words which happen to be what another word
-would turn into stay; a single sign counts as garbled only for a dash, quotation mark, bullet or ellipsis. U+FFFD and C1 control characters are always the trace of a wrong decoding.
+would turn into stay. Where another token of the field is garbled by the same chain, SAME_RATIO times is enough, unless
+the original may be garbled itself. A single sign counts as garbled only for a dash, quotation mark, bullet or ellipsis. U+FFFD and C1 control characters are always the trace of a wrong decoding.
 
 Only what is displayed counts: tags, comments, styles and scripts of HTML don't, and character references are what
 they stand for. Defined results: null, empty and plain ASCII fields are sound; a field is restored in part where only part
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from proseloom.session import written
 
-RATIO, UNIT_RATIO = 10, 3
+RATIO, UNIT_RATIO, SAME_RATIO = 10, 3, 1
 #: Kinds of tokens.
 CHAR, WHOLE, UNIT = 0, 1, 2
 #: Decodings that turn the bytes of UTF-8 into several characters each.
@@ -44,6 +45,8 @@ NARROW = [
     *((a, b) for a in CYRILLIC for b in [*CYRILLIC, "latin-1", "windows-1252", "mac_roman", "cp437"] if a != b),
 ]
 LOSSY = [("windows-1252", "utf-8"), ("cp1251", "utf-8"), ("mac_roman", "utf-8"), ("utf-8", "ascii"), ("utf-8", "cp1252")]
+#: A character for each chain: one wrong decoding of UTF-8, two of them, one byte a character, and those that lose bytes.
+CHAINS = {c: chr(0x30 + i) for i, c in enumerate([*((d,) for d in WIDE), *((d, e) for d in WIDE for e in WIDE[:3]), *(("narrow", *c) for c in NARROW), *(("lossy", *c) for c in LOSSY)])}
 HIDDEN = re.compile(r"<!--.*?-->|<(style|script|template|title)\b.*?</\1\s*>|<[^>]*>", re.DOTALL | re.IGNORECASE)
 WORD = re.compile(r"[A-Za-z]*[^\x00-\x7F][A-Za-z\x80-\U0010FFFF]*")
 CJK = re.compile(r"[぀-ヿ㐀-鿿]")
@@ -110,17 +113,31 @@ def tokens(text: str) -> set[tuple[str, int]]:
     return {t for word in set(WORD.findall(text)) for t in _of_word(word)}
 
 
-def forms(word: str, kind: int) -> Iterator[tuple[str, int]]:
-    """What a character or a word turns into under all chains, with the kind of token that has to be looked for."""
-    wide = {decode(word.encode(), d) for d in WIDE}
-    wide |= {decode(form.encode(), d) for form in wide for d in WIDE[:3]}
+def forms(word: str, kind: int) -> Iterator[tuple[str, int, str]]:
+    """What a character or a word turns into under all chains, with the kind of token that has to be looked for and the chains."""
+    made: dict[str, str] = {}
+    data = word.encode()
+    for d in WIDE:
+        form = decode(data, d)
+        made[form] = made.get(form, "") + CHAINS[d,]
+        again = form.encode()
+        for e in WIDE[:3]:
+            twice = decode(again, e)
+            made[twice] = made.get(twice, "") + CHAINS[d, e]
     if kind == CHAR:
-        yield from ((form, UNIT) for form in wide)
+        yield from ((form, UNIT, chains) for form, chains in made.items())
         return
-    narrow = {decode(data, b) for a, b in NARROW if (data := encode(word, a)) and (len(word) > 1 or (a, b) in SIGN_CHAINS)}
-    narrow |= {data.decode(b, "replace") for a, b in LOSSY if (data := encode(word, a))}
+    bytes_of = {a: encode(word, a) for a in {a for a, _ in (*NARROW, *LOSSY)}}
+    for a, b in NARROW:
+        if bytes_of[a] and (len(word) > 1 or (a, b) in SIGN_CHAINS):
+            form = decode(bytes_of[a], b)
+            made[form] = made.get(form, "") + CHAINS["narrow", a, b]
+    for a, b in LOSSY:
+        if bytes_of[a]:
+            form = bytes_of[a].decode(b, "replace")
+            made[form] = made.get(form, "") + CHAINS["lossy", a, b]
     # alone, a letter or sign may stand for itself
-    yield from ((form, WHOLE) for form in wide | narrow if form != word and (len(form) > 1 or word in MARKS))
+    yield from ((form, WHOLE, chains) for form, chains in made.items() if form != word and (len(form) > 1 or word in MARKS))
 
 
 def field_tokens(df: DataFrame, key: str, fields: list[tuple[str, bool]]) -> DataFrame:
@@ -147,33 +164,44 @@ def field_tokens(df: DataFrame, key: str, fields: list[tuple[str, bool]]) -> Dat
 
 
 def garbled_table(found: DataFrame) -> DataFrame:
-    """(token, kind, original) of the garbled tokens among those of ``found``; original is null for mere traces."""
+    """(token, kind, original, n_original, chains, sure) of the tokens among those of ``found`` that are or may be garbled.
+
+    ``original`` is null for mere traces. A token is sure once, or has a row for each original that is enough by SAME_RATIO only.
+    """
 
     def generate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
-                (form, form_kind, word, n)
+                (form, form_kind, word, n, chains)
                 for word, kind, n in zip(*(batch.column(i).to_pylist() for i in range(3)))
                 if not TRACE.search(word)
-                for form, form_kind in forms(word, kind)
+                for form, form_kind, chains in forms(word, kind)
             ]
-            columns = list(zip(*rows)) or [()] * 4
-            types = (pa.string(), pa.int32(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["token", "kind", "original", "n_original"])
+            columns = list(zip(*rows)) or [()] * 5
+            types = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["token", "kind", "original", "n_original", "chains"])
 
     words = written(found.groupBy("token", "kind").agg(F.count("*").alias("n")), "garbled-words")
-    made = words.where(F.col("kind") != UNIT).mapInArrow(generate, "token string, kind int, original string, n_original long")
-    joined = words.join(made, ["token", "kind"]).where(f"n_original >= n * CASE WHEN kind = {UNIT} THEN {UNIT_RATIO} ELSE {RATIO} END")
-    best = joined.groupBy("token", "kind").agg(F.max(F.struct("n_original", "original")).alias("b"))
-    best = best.select("token", "kind", F.col("b.original").alias("original"))
-    traces = words.where(F.col("token").rlike(TRACE.pattern)).where(F.col("kind") == CHAR).select("token", "kind")
-    return best.unionByName(traces.withColumn("original", F.lit(None).cast("string")))
+    made = words.where(F.col("kind") != UNIT).mapInArrow(generate, "token string, kind int, original string, n_original long, chains string")
+    joined = words.join(made, ["token", "kind"]).withColumn("sure", F.expr(f"n_original >= n * CASE WHEN kind = {UNIT} THEN {UNIT_RATIO} ELSE {RATIO} END"))
+    joined = written(joined.where(f"sure OR (kind = {WHOLE} AND n_original >= n * {SAME_RATIO})"), "garbled-pairs")
+    best = joined.where("sure").groupBy("token", "kind").agg(F.max(F.struct("n_original", "original", "chains")).alias("b")).select("token", "kind", "b.original", "b.n_original", "b.chains", F.lit(True).alias("sure"))
+    known = best.where(f"kind = {WHOLE}").select("token", "kind")
+    maybe = joined.where(f"kind = {WHOLE} AND n_original > n").select(F.col("token").alias("original")).distinct()
+    near = joined.where("NOT sure").join(known, ["token", "kind"], "left_anti").join(maybe, "original", "left_anti")
+    traces = words.where(F.col("token").rlike(TRACE.pattern)).where(F.col("kind") == CHAR).select("token", "kind", *(F.lit(None).cast(t).alias(c) for c, t in (("original", "string"), ("n_original", "long"), ("chains", "string"))), F.lit(True).alias("sure"))
+    return best.unionByName(traces).unionByName(near.select(*best.columns))
 
 
 def garbled_tokens(df: DataFrame, key: str, fields: list[tuple[str, bool]]) -> DataFrame:
     """(key, field_name, token, original) of the garbled tokens of every record."""
     found = written(field_tokens(df, key, fields), "garbled-tokens")
-    return found.join(garbled_table(found), ["token", "kind"]).select(key, "field_name", "token", "original")
+    hits = written(found.join(garbled_table(found), ["token", "kind"]), "garbled-hits")
+    sure, field = hits.where("sure"), [key, "field_name"]
+    chain = F.explode(F.filter(F.split("chains", ""), lambda c: c != "")).alias("chain")
+    near = hits.where("NOT sure").select(*field, "token", "original", "n_original", chain).join(sure.select(*field, chain).distinct(), [*field, "chain"])
+    near = near.groupBy(*field, "token").agg(F.max(F.struct("n_original", "original")).alias("b"))
+    return sure.select(*field, "token", "original").unionByName(near.select(*field, "token", F.col("b.original").alias("original")))
 
 
 def restore_text(text: str, pairs: dict[str, str], markup: bool) -> str:

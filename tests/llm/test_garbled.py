@@ -50,3 +50,15 @@ def test_empty_and_null(spark):
 def test_visible_and_tokens():
     assert visible("<b>&eacute;</b><script>é</script>", True).strip() == "é"
     assert tokens("plain") == set() and ("Ã©", 2) in tokens("cafÃ©s")
+
+
+def test_rare_originals_beside_the_same_chain(spark):
+    chain, other = ("windows-1252", "cp437"), ("windows-1252", "mac_roman")
+    rows = [(i, "die größere Lücke", None) for i in range(40)] + [(100 + i, "eine sprödere Prüfung", None) for i in range(3)]
+    rows += [(200, garble("die größere sprödere", chain), None), (201, garble("die größere", chain) + " " + garble("Prüfung", other), None), (202, garble("Prüfung", chain), None)]
+    df = spark.createDataFrame(rows, "key long, text string, html string")
+    found = garbled_tokens(df, "key", FIELDS)
+    back = {r.key: r.restored for r in restored(df, found, "key", FIELDS).collect()}
+    # rare words: restored beside the same chain, left beside another one and alone
+    assert back == {200: "die größere sprödere", 201: "die größere " + garble("Prüfung", other)}
+    assert {r.key for r in found.collect()} == {200, 201}
