@@ -27,14 +27,14 @@ from proseloom.llm.notebook import prose
 LANGUAGES = ["de", "en", "es", "fr", "it", "ja", "pt", "ru"]
 #: Bounds of the training sample, and the model's size.
 DOCS_A_LANGUAGE, SENTENCES_A_DOC, BUCKETS, DIM = 250, 8, 1 << 15, 16
-LONGEST, CACHE = 600, 60_000
+CACHE = 60_000
 #: Share of held-out sentences with a language that must be right; sets the threshold of rejection.
 PRECISION = 0.998
 
 
 def subwords(sentence: str) -> np.ndarray:
     """Rows of the embedding table for a sentence."""
-    text = " " + " ".join(c for c in "".join(c if c.isalpha() or c == "'" else " " for c in sentence.lower()[:LONGEST]).split()) + " "
+    text = " " + " ".join(c for c in "".join(c if c.isalpha() or c == "'" else " " for c in sentence.lower()).split()) + " "
     code = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
     out, h = [], code * np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
@@ -57,7 +57,8 @@ class LanguageModel:
     cache: dict[str, tuple[str | None, float]] = field(default_factory=dict, repr=False)
 
     def scores(self, ids: list[np.ndarray]) -> np.ndarray:
-        mean = np.stack([self.table[i].mean(0) for i in ids])
+        # of a long sentence the rows are counted, so that it takes no more memory than the table
+        mean = np.stack([self.table[i].mean(0) if len(i) < BUCKETS else np.bincount(i, minlength=BUCKETS) @ self.table / len(i) for i in ids])
         z = (mean @ self.weights + self.bias) / self.temperature
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)

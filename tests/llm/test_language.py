@@ -3,7 +3,7 @@ import json
 import numpy as np
 import pytest
 
-from proseloom.llm.language import fit_language, segments_of, subwords, train_language, with_segments
+from proseloom.llm.language import BUCKETS, LanguageModel, fit_language, segments_of, subwords, train_language, with_segments
 from proseloom.llm.notebook import cells, prose
 
 EN = ["The histogram compares both groups.", "A larger batch takes about a minute.", "The first column hides a weekly pattern.", "Each sensor needs a few more rows."]
@@ -60,3 +60,14 @@ def test_frames(spark):
     assert got[1][0].label == "en" and got[0][0].label == "de" and got[100][0].label is None and len(got[103]) == 2
     assert [s.lang for s in got[100][0].segments] == ["de"] and got[101][0].segments == [] and got[103][0].segments[0].sentences == 4
     assert train_language(docs.limit(0)) is None and with_segments(docs.limit(0), None).count() == 0
+
+
+def test_long_sentences_count_to_their_end():
+    tail = "ein langer Absatz ohne Satzzeichen "
+    assert subwords("1 " * 400 + tail).tolist() == subwords(tail).tolist()
+    assert len(subwords(tail * 100)) > 4 * 2000
+    table = np.random.default_rng(0).normal(size=(BUCKETS, 2)).astype(np.float32)
+    model, long = LanguageModel(["a", "b"], table, np.eye(2), np.zeros(2)), subwords(tail * 1000)
+    assert len(long) > BUCKETS
+    z = table[long].astype(float).mean(0)
+    assert np.allclose(model.scores([long])[0], np.exp(z) / np.exp(z).sum(), atol=1e-5)
