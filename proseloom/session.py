@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,10 +12,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: A setting of the session: how many parts ``spread`` makes of an input. Unset, as on a cluster, inputs keep the splits of the scan.
+SPREAD_CONF = "spark.proseloom.spread"
+_WRITTEN: list[str] = []
 
 
-def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session with the settings the tests and the bench use."""
+def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g", spread: int | None = None) -> SparkSession:
+    """A local session with the settings the tests and the bench use; ``spread`` is for inputs of one small file."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("proseloom")
@@ -26,6 +30,8 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    if spread:
+        spark.conf.set(SPREAD_CONF, str(spread))
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -33,11 +39,14 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and written tables that every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop) a local folder is made.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a local master (tests, a laptop) gets a folder of
+    its own, which goes at the end of the process; any other master is an error, since its executors could not read it.
     """
     named = spark.sparkContext.getConf().get(CHECKPOINT_CONF, None) or spark.conf.get(CHECKPOINT_CONF, None)
     if named:
         return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     own = os.path.join(tempfile.gettempdir(), f"proseloom-{os.getpid()}")
     if not os.path.isdir(own):
         os.makedirs(own)
@@ -45,34 +54,47 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and cut from its lineage by a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to a new Parquet table in the shared folder and read back with column pruning and pushdown."""
+    """``df`` written to a new Parquet table in the shared folder and read back with column pruning and pushdown.
+
+    The table stays until ``drop_written`` or the end of the process.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_drop_at_exit)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> int:
+    """Deletes the tables that ``written`` has made in this process; call it when no result that reads them is needed any more."""
+    jvm, n = spark.sparkContext._jvm, 0
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
+def _drop_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        try:
+            drop_written(spark)
+        except Exception:  # noqa: BLE001 - the session may be gone already
+            pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its input has fewer splits than there are cores, as small files have; else as it is.
-
-    At scale an input has many more splits than cores, and nothing is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """``df`` in as many parts as the session's ``spark.proseloom.spread`` says; as it is where that is unset."""
+    parts = df.sparkSession.conf.get(SPREAD_CONF, None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def distinct_by(df: DataFrame, key: str) -> DataFrame:
