@@ -2,18 +2,30 @@
 
 A sentence is the set of its character sequences of one to four, hashed to rows of an embedding table; their mean goes
 through a linear softmax. Both are trained by stochastic gradient descent in numpy on sentences of labelled documents, a
-bounded sample with at most DOCS_A_LANGUAGE documents of each language. Labels are wrong now and then (a frequent
-language stands under the label of every rarer one), so the sentences to which a first training gives another language than
-their label are left out of the second. Held-out sentences, without those as well, set the temperature of the softmax and the
-confidence under which a sentence is left without a language.
+bounded sample with at most DOCS_A_LANGUAGE documents of each language.
+
+Labels are wrong now and then, and a document of two languages has one label. So calibration works as follows.
+
+1. Documents are dealt to FOLDS folds. Every sentence is read by a model that has not seen its document; where that model
+   gives another language than the label, the sentence is left out of what the second models (and the last one) are trained on.
+2. The second models, again one for each fold, read every sentence of the documents they have not seen. All of these count
+   in what follows: none is left out because a model and its label disagree.
+3. Label noise is, for each language told, the share of disagreement in the more confident half (a sample with as many
+   documents of each label has many sentences of the most frequent language under the labels of the others). The
+   temperature of the softmax is the one under which the labels, as they are, are most likely, given that noise. Its
+   probability is mapped, by isotonic regression, to the share of sentences that were right at it, the noise taken off;
+   this share is the confidence given out, and a sentence for which it is under REJECT_BELOW is rejected. If noise
+   is over MAX_NOISE in the mean every sentence is rejected: labels that say nothing give a model that says nothing.
 
 Sentences of one language in a row make a segment; a segment of one sentence does not count as a stretch. Defined results:
 null, empty and blank texts, and texts without sentences in text cells, have no segment; repeated rows give the same
-segments each; a label of any spelling counts by its language part, null, blank and "und" as missing.
+segments each; a label of any spelling counts by its language part, null, blank and "und" as missing; fewer than two
+languages among the labels give no model and no segment.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,19 +34,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proseloom.llm.boost import isotonic
 from proseloom.llm.notebook import prose
 
 LANGUAGES = ["de", "en", "es", "fr", "it", "ja", "pt", "ru"]
-#: Bounds of the training sample, and the model's size.
-DOCS_A_LANGUAGE, SENTENCES_A_DOC, BUCKETS, DIM = 250, 8, 1 << 15, 16
-CACHE = 60_000
-#: Share of held-out sentences with a language that must be right; sets the threshold of rejection.
-PRECISION = 0.998
+#: Bounds of the training sample (longer sentences are no examples), and the model's size.
+DOCS_A_LANGUAGE, SENTENCES_A_DOC, EXAMPLE_CHARS, BUCKETS, DIM = 250, 8, 2_000, 1 << 15, 16
+#: Sentences whose languages a worker remembers, and subwords that are averaged at a time.
+CACHE, AT_A_TIME = 60_000, 1 << 17
+#: The least confidence with which a sentence gets a language, the most label noise that is believed, and folds.
+REJECT_BELOW, MAX_NOISE, FOLDS = 0.8, 0.25, 2
+TEMPERATURES = [0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0]
+_OTHER = re.compile(r"[^\w']+|[\d_]+")
 
 
 def subwords(sentence: str) -> np.ndarray:
     """Rows of the embedding table for a sentence."""
-    text = " " + " ".join(c for c in "".join(c if c.isalpha() or c == "'" else " " for c in sentence.lower()).split()) + " "
+    text = " " + " ".join(_OTHER.sub(" ", sentence.lower()).split()) + " "
     code = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
     out, h = [], code * np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
@@ -45,35 +61,57 @@ def subwords(sentence: str) -> np.ndarray:
     return np.concatenate(out).astype(np.int32)
 
 
+def softmax(z: np.ndarray, temperature: float = 1.0) -> np.ndarray:
+    z = z / temperature
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
 @dataclass
 class LanguageModel:
+    """``knots`` and ``values`` map the probability of a language to the confidence in it."""
+
     languages: list[str]
     table: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
-    reject: float = 0.0
+    knots: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
+    values: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     held_out: dict[str, float] = field(default_factory=dict)
     cache: dict[str, tuple[str | None, float]] = field(default_factory=dict, repr=False)
 
+    def logits(self, ids: list[np.ndarray]) -> np.ndarray:
+        """Those of sentences as rows of the table, many at a time."""
+        mean, i = np.empty((len(ids), self.table.shape[1]), dtype=np.float32), 0
+        while i < len(ids):
+            if len(ids[i]) >= BUCKETS:  # of a long sentence the rows are counted, so that it takes no more memory than the table
+                mean[i] = np.bincount(ids[i], minlength=BUCKETS) @ self.table / len(ids[i])
+                i += 1
+                continue
+            j, total = i, 0
+            while j < len(ids) and len(ids[j]) < BUCKETS and total < AT_A_TIME:
+                total += len(ids[j])
+                j += 1
+            sizes = np.array([len(x) for x in ids[i:j]])
+            mean[i:j] = np.add.reduceat(self.table[np.concatenate(ids[i:j])], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+            i = j
+        return mean @ self.weights + self.bias
+
     def scores(self, ids: list[np.ndarray]) -> np.ndarray:
-        # of a long sentence the rows are counted, so that it takes no more memory than the table
-        mean = np.stack([self.table[i].mean(0) if len(i) < BUCKETS else np.bincount(i, minlength=BUCKETS) @ self.table / len(i) for i in ids])
-        z = (mean @ self.weights + self.bias) / self.temperature
-        e = np.exp(z - z.max(1, keepdims=True))
-        return e / e.sum(1, keepdims=True)
-
-    def language(self, sentence: str) -> tuple[str | None, float]:
-        """The language (None if no one is likely enough) and the confidence."""
-        found = self.cache.get(sentence)
-        if found is None:
-            p = self.scores([subwords(sentence)])[0]
-            k = int(p.argmax())
-            found = (self.languages[k] if p[k] >= self.reject else None, float(p[k]))
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[sentence] = found
-        return found
+        return softmax(self.logits(ids), self.temperature)
+
+    def read(self, sentences: list[str]) -> dict[str, tuple[str | None, float]]:
+        """For each sentence the language (None if no one is likely enough) and the confidence."""
+        if len(self.cache) >= CACHE:
+            self.cache.clear()
+        new = [s for s in dict.fromkeys(sentences) if s not in self.cache]
+        if new:
+            p = self.scores([subwords(s) for s in new])
+            sure = np.interp(p.max(1), self.knots, self.values)
+            for s, k, c in zip(new, p.argmax(1).tolist(), sure.tolist()):
+                self.cache[s] = (self.languages[k] if c >= REJECT_BELOW else None, c)
+        return self.cache
 
 
 def _descend(ids: list[np.ndarray], y: np.ndarray, n: int, epochs: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,9 +134,11 @@ def _descend(ids: list[np.ndarray], y: np.ndarray, n: int, epochs: int, seed: in
             p[np.arange(len(rows)), y[rows]] -= 1
             back = (p @ w.T) / sizes[:, None]
             gw = mean.T @ p / len(rows)
-            used, inverse = np.unique(flat, return_inverse=True)
-            each = np.repeat(back, sizes, axis=0)
-            gt = np.stack([np.bincount(inverse, each[:, d], len(used)) for d in range(DIM)], axis=1).astype(np.float32)
+            order_t = np.argsort(flat.astype(np.uint16), kind="stable")  # 16 bits are sorted by counting
+            at_t = flat[order_t]
+            first = np.flatnonzero(np.append(True, at_t[1:] != at_t[:-1]))
+            used = at_t[first]
+            gt = np.add.reduceat(np.repeat(back.astype(np.float32), sizes, axis=0)[order_t], first, axis=0)
             seen_w += gw**2
             w -= 0.3 * gw / np.sqrt(seen_w)
             b -= 0.1 * p.mean(0)
@@ -107,42 +147,57 @@ def _descend(ids: list[np.ndarray], y: np.ndarray, n: int, epochs: int, seed: in
     return table, w, b
 
 
+def calibrate(z: np.ndarray, y: np.ndarray, most_noise: float = MAX_NOISE) -> tuple[float, np.ndarray, np.ndarray, dict[str, float]]:
+    """Temperature, the calibration of its confidence (knots and values) and figures, from logits of held-out sentences, all of
+    them, and their labels as they are."""
+    n, rows = z.shape[1], np.arange(len(y))
+    told, sure = z.argmax(1), softmax(z).max(1)
+    agree, noise = told == y, np.zeros(n)
+    for m in set(told.tolist()):
+        own = told == m
+        noise[m] = 1 - agree[own & (sure >= np.median(sure[own]))].mean()
+    found = {"sentences": float(len(y)), "agreement": float(agree.mean()), "noise": float(noise[told].mean()), "kept": 0.0, "right": 0.0}
+    if found["noise"] > most_noise:
+        return 1.0, np.array([0.0]), np.array([0.0]), found
+
+    def loss(temperature: float) -> float:
+        p = softmax(z, temperature)
+        wrong = (p * noise).sum(1) - p[rows, y] * noise[y]
+        return -float(np.log(np.maximum(p[rows, y] * (1 - noise[y]) + wrong / (n - 1), 1e-12)).mean())
+
+    temperature = min(TEMPERATURES, key=loss)
+    best = softmax(z, temperature).max(1)
+    knots, values = isotonic(best, agree / (1 - noise[told]))
+    values = np.minimum(values, 1.0)
+    kept = np.interp(best, knots, values) >= REJECT_BELOW
+    right = float(agree[kept].sum() / (1 - noise[told[kept]]).sum()) if kept.any() else 0.0
+    return temperature, knots, values, found | {"kept": float(kept.mean()), "right": min(1.0, right)}
+
+
 def fit_language(sentences: list[str], labels: list[str], docs: list[int], epochs: int = 3, seed: int = 3) -> LanguageModel | None:
-    """A model from labelled sentences; every fifth document is held out."""
+    """A model from labelled sentences of documents, calibrated on what models of the other folds say of each."""
     languages = sorted(set(labels))
     if len(languages) < 2:
         return None
     ids = [subwords(s) for s in sentences]
     y = np.array([languages.index(v) for v in labels])
-    out = np.array([d % 5 == 0 for d in docs])
-    if out.all() or not out.any():
-        out = np.arange(len(y)) % 5 == 0
-    keep = ~out
-    for _ in range(2):
-        rows = np.flatnonzero(keep)
-        model = LanguageModel(languages, *_descend([ids[i] for i in rows], y[rows], len(languages), epochs, seed))
-        p = model.scores(ids)
-        told = p.argmax(1)
-        clear = told == y
-        keep = ~out & clear
-    test = out & clear
-    if not test.any():
-        return model
-    mean = np.stack([model.table[i].mean(0) for i in (ids[k] for k in np.flatnonzero(test))])
-    z, t = mean @ model.weights + model.bias, y[test]
+    own = sorted(set(docs))
+    n = min(FOLDS, len(own))
+    place = {d: i for i, d in enumerate(np.random.default_rng(seed).permutation(len(own)).tolist())}
+    fold = np.array([place[i] % n for i in np.searchsorted(own, docs)])
 
-    def loss(temperature: float) -> float:
-        e = z / temperature
-        e = e - e.max(1, keepdims=True)
-        return float((np.log(np.exp(e).sum(1)) - e[np.arange(len(t)), t]).mean())
-
-    model.temperature = min((0.5, 0.7, 1.0, 1.4, 2.0), key=loss)
-    p = model.scores([ids[k] for k in np.flatnonzero(test)])
-    right, best = p.argmax(1) == t, p.max(1)
-    order = np.argsort(-best)
-    good = np.cumsum(right[order]) / np.arange(1, len(order) + 1) >= PRECISION
-    model.reject = min(0.9, max(0.5, float(best[order[np.flatnonzero(good)[-1]]]))) if good.any() else 0.9
-    model.held_out = {"sentences": float(test.sum()), "accuracy": float(right.mean()), "kept": float((best >= model.reject).mean())}
+    def trained(rows: np.ndarray) -> LanguageModel:
+        return LanguageModel(languages, *_descend([ids[i] for i in rows], y[rows], len(languages), epochs, seed))
+
+    keep, z = np.ones(len(y), dtype=bool), np.zeros((len(y), len(languages)))
+    for _ in range(2):
+        for k in range(n):
+            out = np.flatnonzero(fold == k)
+            rows = np.flatnonzero((fold != k) & keep)
+            z[out] = trained(rows).logits([ids[i] for i in out]) if len(rows) else 0.0
+        keep = z.argmax(1) == y
+    model = trained(np.flatnonzero(keep) if keep.any() else np.arange(len(y)))
+    model.temperature, model.knots, model.values, model.held_out = calibrate(z, y)
     return model
 
 
@@ -164,7 +219,7 @@ def train_language(docs: DataFrame, languages: list[str] = LANGUAGES, most: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [
-                [s for cell in prose(t, f) for s in cell][:SENTENCES_A_DOC]
+                [s for cell in prose(t, f) for s in cell if len(s) <= EXAMPLE_CHARS][:SENTENCES_A_DOC]
                 for t, f in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "l", "sentences"])
@@ -187,9 +242,10 @@ def segments_of(cells: list[list[str]], model: LanguageModel) -> list[tuple[str,
     A sentence without a sure language goes with the stretch it stands in.
     """
     found: list[list] = []
+    read = model.read([s for cell in cells for s in cell])
     for i, cell in enumerate(cells):
         for s in cell:
-            lang, p = model.language(s)
+            lang, p = read[s]
             if lang is None:
                 continue
             if found and found[-1][0] == lang:
@@ -211,10 +267,10 @@ def with_segments(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [
-                [dict(zip(names, s)) for s in segments_of(prose(t, f), model)] if model else []
-                for t, f in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            ]
+            found = [prose(t, f) if model else [] for t, f in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            if model:
+                model.read([s for cells in found for cell in cells for s in cell])
+            found = [[dict(zip(names, s)) for s in segments_of(cells, model)] for cells in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], names=["doc_id", "label", "segments"])
 
     chosen = docs.select("doc_id", label_language(F.col("lang")).alias("label"), "text", "nb_format")
