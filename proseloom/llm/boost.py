@@ -115,27 +115,34 @@ def folds(groups: np.ndarray, n: int = 5) -> np.ndarray:
     return np.array([of[g] for g in groups])
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the non-decreasing function nearest to y over x (pool adjacent violators)."""
-    order = np.argsort(x, kind="stable")
+def isotonic(x: np.ndarray, y: np.ndarray, strict: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the non-decreasing function nearest to y over x (pool adjacent violators); rows of one x are pooled first.
+
+    ``strict`` puts one knot in the middle of each pool, so that the function rises between them all and ties stay rare.
+    """
+    at, back, count = np.unique(x, return_inverse=True, return_counts=True)
     blocks: list[list[float]] = []
-    for a, b in zip(x[order], y[order]):
-        blocks.append([float(b), 1.0, float(a), float(a)])
+    for a, b, n in zip(at.tolist(), (np.bincount(back, y) / count).tolist(), count.tolist()):
+        blocks.append([b, float(n), a, a, a * n])
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            v, n, _, hi = blocks.pop()
+            v, n, _, hi, total = blocks.pop()
             u = blocks[-1]
-            u[0], u[1], u[3] = (u[0] * u[1] + v * n) / (u[1] + n), u[1] + n, hi
-    knots = [(p, b[0]) for b in blocks for p in dict.fromkeys((b[2], b[3]))]
+            u[0], u[1], u[3], u[4] = (u[0] * u[1] + v * n) / (u[1] + n), u[1] + n, hi, u[4] + total
+    if strict:
+        knots = [(b[4] / b[1], b[0]) for b in blocks]
+    else:
+        knots = [(p, b[0]) for b in blocks for p in dict.fromkeys((b[2], b[3]))]
     return np.array([k for k, _ in knots]), np.array([v for _, v in knots])
 
 
 def best_cut(score: np.ndarray, truth: np.ndarray) -> float:
-    """The threshold with the highest F1; in the middle of the gap below it."""
+    """The threshold with the highest F1; in the middle of the gap below it. Rows of one score are taken together."""
     order = np.argsort(-score, kind="stable")
-    hits = np.cumsum(truth[order])
+    ranked, hits = score[order], np.cumsum(truth[order])
     if not len(hits) or not hits[-1]:
         return float("inf")
     f1 = 2 * hits / (np.arange(1, len(hits) + 1) + hits[-1])
+    f1[:-1][ranked[1:] == ranked[:-1]] = -1
     i = int(f1.argmax())
-    low = score[order[i + 1]] if i + 1 < len(order) else score[order[i]]
-    return float((score[order[i]] + low) / 2)
+    low = ranked[i + 1] if i + 1 < len(order) else ranked[i]
+    return float((ranked[i] + low) / 2)

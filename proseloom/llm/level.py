@@ -4,7 +4,8 @@ Each English sentence of running text is measured (length, vocabulary, syntax);
 distributions of these measures over its sentences, its vocabulary's variety, and the cohesion of adjoining sentences.
 Trees are fitted to the labelled rows, after the raters' own offsets were estimated and taken off. Out-of-fold predictions,
 with whole sources (applications of ``clip_docs``, kinds of text of ``corpus``) held out in turn, give the calibration to the
-scale of the labels and the threshold of the highest band. What is reported of a fold comes from the calibration and the
+scale of the labels (isotonic, with a knot in the middle of each pool, so that levels rise with the predictions) and the
+threshold of the highest band, on the calibrated level. What is reported of a fold comes from the calibration and the
 threshold of the other folds.
 
 Sentences that are not English prose (other languages, log lines, tables, lines made of numbers and links) are not
@@ -29,8 +30,11 @@ from proseloom.llm.boost import Boost, best_cut, folds, isotonic
 from proseloom.llm.lookalike import LIGATURES, mapping
 from proseloom.session import written
 
-#: The most labelled rows the trees are fitted to, in the order of a hash of their keys.
-MAX_LABELS = 6_000
+#: The most labelled rows the trees are fitted to, in the order of a hash of their keys; the trees, the same for held-out folds and for all rows.
+MAX_LABELS, TREES = 6_000, {"rounds": 120, "depth": 3, "rate": 0.1}
+#: A sentence is English prose if of its characters at least LETTERS_SHARE are letters, of those at least LATIN_SHARE basic Latin ones in
+#: words, and of its words, LEAST_WORDS at least, FUNCTION_SHARE function words.
+LETTERS_SHARE, LATIN_SHARE, LEAST_WORDS, FUNCTION_SHARE = 0.6, 0.8, 3, 0.12
 SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+|\n+|(?<=[。！？])")
 WORD = re.compile(r"[a-z]+(?:'[a-z]+)?")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -65,14 +69,14 @@ def word(w: str) -> tuple[int, int, bool, bool, bool, bool, bool, bool]:
 def sentence(text: str) -> tuple[tuple[float, ...], frozenset[str], int, int] | None:
     """The measures of an English sentence, its content words, connectives and words; a word count where it is not English."""
     letters = len(text) - len(LETTERS.sub("", text))
-    if letters < 0.6 * len(text):
+    if letters < LETTERS_SHARE * len(text):
         return (), frozenset(), 0, 0
     words = WORD.findall(text.lower())
-    if len(words) < 3 or sum(map(len, words)) < 0.8 * letters:
+    if len(words) < LEAST_WORDS or sum(map(len, words)) < LATIN_SHARE * letters:
         return (), frozenset(), 0, letters
     n = len(words)
     size, syllables, long, very_long, function, learned, subordinate, links = map(sum, zip(*map(word, words)))
-    if function < 0.12 * n:
+    if function < FUNCTION_SHARE * n:
         return (), frozenset(), 0, letters
     measures = (
         n, size / n, syllables / n, long / n, very_long / n, function / n, learned / n, subordinate,
@@ -89,7 +93,7 @@ def features(text: str | None) -> list[float] | None:
         text = text.translate(_PLAIN)
     rows, sets, links, english, other = [], [], 0, 0, 0
     for s in SENTENCE.split(text):
-        if not s or len(s) < 8:
+        if not s:
             continue
         measures, content, n_links, letters = sentence(s)
         if measures:
@@ -133,6 +137,8 @@ def level_features(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class LevelModel:
+    """``cut`` is a threshold on the calibrated level."""
+
     trees: Boost
     knots: np.ndarray
     values: np.ndarray
@@ -156,29 +162,33 @@ def fit_levels(x: np.ndarray, band: np.ndarray, rater: np.ndarray, source: np.nd
     for _ in range(2):  # the second time without the raters' offsets
         for k in range(n_folds):
             if (fold == k).any():
-                oof[fold == k] = Boost(rounds=60, depth=3, rate=0.15).fit(x[fold != k], target[fold != k]).predict(x[fold == k])
+                oof[fold == k] = Boost(**TREES).fit(x[fold != k], target[fold != k]).predict(x[fold == k])
         for r in set(rater):
             mine = rater == r
             if mine.sum() >= 20:
                 target[mine] = band[mine] - np.clip(np.mean(band[mine] - oof[mine]), -1, 1)
-    trees = Boost(rounds=120, depth=3).fit(x, target)
-    knots, values = isotonic(oof, target)
-    cut = best_cut(oof, band >= top)
+    trees = Boost(**TREES).fit(x, target)
     level, hit = np.zeros(len(band)), np.zeros(len(band), dtype=bool)
     for k in range(n_folds):
         mine = fold == k
-        level[mine] = np.interp(oof[mine], *isotonic(oof[~mine], target[~mine]))
-        hit[mine] = oof[mine] >= best_cut(oof[~mine], band[~mine] >= top)
+        knots, values = isotonic(oof[~mine], target[~mine], strict=True)
+        level[mine] = np.interp(oof[mine], knots, values)
+        hit[mine] = level[mine] >= best_cut(np.interp(oof[~mine], knots, values), band[~mine] >= top)
     error = np.abs(level - target)
     found = {"rows": float(len(band)), "mean_error": float(error.mean()), "precision": float((band[hit] >= top).mean()) if hit.any() else 0.0, "recall": float(hit[band >= top].mean()) if (band >= top).any() else 0.0}
+    knots, values = isotonic(oof, target, strict=True)
+    cut = best_cut(np.interp(oof, knots, values), band >= top)
     return LevelModel(trees, knots, values, cut, found, {str(s): float(error[source == s].mean()) for s in sorted(set(source))})
 
 
 def train_levels(found: DataFrame, labels: DataFrame, most: int = MAX_LABELS) -> LevelModel | None:
-    """The model for the labelled rows among ``found`` (tbl, row_id, features, source); at most ``most`` rows are used."""
+    """The model for the labelled rows among ``found`` (tbl, row_id, features, source); at most ``most`` rows are used, by a hash of their keys."""
     usable = labels.where("band BETWEEN 1 AND 5").select("tbl", "row_id", "band", F.coalesce("rater", F.lit("")).alias("rater"))
-    chosen = usable.withColumn("_h", F.xxhash64("tbl", "row_id")).orderBy("_h", "tbl", "row_id", "rater", "band").limit(most)
-    rows = chosen.join(found, ["tbl", "row_id"]).orderBy("_h", "tbl", "row_id", "rater", "band").collect()
+    usable = usable.withColumn("_h", F.pmod(F.xxhash64("tbl", "row_id"), F.lit(1 << 30)))
+    n = usable.count()
+    if n > most:  # a few more than that are fetched, and the last ones of their order left out
+        usable = usable.where(F.col("_h") < int((1 << 30) * min(1.0, most / n + 4 * (most**0.5) / n)))
+    rows = sorted(usable.join(found, ["tbl", "row_id"]).collect(), key=lambda r: (r["_h"], r.tbl, r.row_id, r.rater, r.band))[:most]
     if not rows:
         return None
     x = np.array([r.features for r in rows])
@@ -196,9 +206,8 @@ def graded(texts: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(FEATURES))
-            raw = model.trees.predict(x)
-            level = np.interp(raw, model.knots, model.values)
-            columns = [batch.column(0), batch.column(1), pa.array(level, pa.float64()), pa.array(raw >= model.cut, pa.bool_())]
+            level = model.grade(x)
+            columns = [batch.column(0), batch.column(1), pa.array(level, pa.float64()), pa.array(level >= model.cut, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=["tbl", "row_id", "level", "is_top"])
 
     schema = "tbl string, row_id string, level double, is_top boolean"

@@ -81,3 +81,28 @@ def test_error_by_source_is_held_out():
     band = np.where((x[:, 0] > 0) != (source == "odd"), 5, 1)
     model = level.fit_levels(x, band, np.full(600, "r"), source)
     assert set(model.by_source) == {"a", "b", "c", "odd"} and model.by_source["odd"] > 2
+
+
+def test_ties_are_pooled_and_cut_together():
+    knots, values = isotonic(np.array([1.0, 1, 2, 2, 3]), np.array([1.0, 0, 1, 0, 1]))
+    assert np.allclose(np.interp([1, 2, 3], knots, values), [0.5, 0.5, 1.0])
+    knots, values = isotonic(np.array([1.0, 2, 3, 4]), np.array([1.0, 3, 2, 5]), strict=True)
+    assert knots.tolist() == [1, 2.5, 4] and values.tolist() == [1, 2.5, 5]
+    # half of the three rows of one score are right: they come in or stay out together
+    assert best_cut(np.array([2.0, 2, 1, 1, 1, 0]), np.array([1, 1, 1, 1, 0, 0])) == 0.5
+    assert best_cut(np.array([2.0, 2, 1, 1, 1, 1, 1, 1]), np.array([1, 1, 1, 0, 0, 0, 0, 0])) == 1.5
+
+
+def test_rows_are_those_over_the_cut_of_the_calibrated_level():
+    rng = np.random.default_rng(5)
+    x, source = rng.normal(size=(900, 4)), np.array([f"s{i % 6}" for i in range(900)])
+    band = np.clip(np.round(3 + x[:, 0] * 1.5 + rng.normal(0, 0.4, 900)), 1, 5).astype(int)
+    model = level.fit_levels(x, band, np.full(900, "r"), source)
+    assert 3.5 < model.cut < 5 and (np.diff(model.values) > 0).all()
+    assert ((model.grade(x) >= model.cut) == (band == 5)).mean() > 0.9
+    assert model.trees.rounds == level.TREES["rounds"] and model.trees.rate == level.TREES["rate"]
+
+
+def test_short_sentences_count():
+    # three words of less than eight characters make a sentence
+    assert features("I am in. He is it. We do so.") is not None
