@@ -1,23 +1,26 @@
 """Splitting oversized items at natural boundaries.
 
-Every text is taken as a run of tokens (a word, a run of blanks, a single other character). The sizes of the tokens are
-summed to a prefix array, and the places where a text may be cut are kept as one sorted array for each strength of
-boundary (paragraph, line, sentence, clause, word). A piece ends at the last boundary under the limit, found by binary
-search; the strongest kind that lies in the upper part of the piece wins. The next piece starts at the first boundary
-that is at most ``overlap`` back. Where there is no boundary at all, the cut is hard, but never inside a combining
-sequence unless the sequence itself is longer than the room there is.
+A text is taken as a run of tokens: its code points, their bytes, or the tokens of a public tokenizer, whichever the limit is
+given in. The offsets at which tokens begin and the sums of their sizes up to there are two sorted arrays, and the places
+where a text may be cut are one more for each strength of boundary (paragraph, line, sentence, clause, word). A piece may
+reach as far as the last offset whose prefix sum is within the limit, found by binary search; it ends at the last boundary before
+that, found by binary search too, and the strongest kind that lies in the upper part of the piece wins. From there a binary
+search in the prefix sums steps back by ``overlap``; the next piece starts at the first boundary from that place on. Where
+there is no boundary at all the cut is hard: at a token's beginning, but never inside a combining sequence unless the
+sequence itself is longer than the room there is.
+
+Sizes in tokens of a tokenizer are those of the text's own encoding, and cuts lie where one of its tokens begins.
 
 Defined results: a null text gives no piece; an empty text gives one empty piece; a text of at most ``limit`` gives one
-piece equal to it; repeated rows are cut alike, each for itself; other columns are carried along, and an input column
-whose name clashes with an output column is replaced by it.
+piece equal to it; a single token over the limit is a piece of its own; repeated rows are cut alike, each for itself; other
+columns are carried along, and an input column whose name clashes with an output column is replaced by it.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,10 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from proseloom.llm.tokens import tokenizer, vocabulary
+
 LIMIT, OVERLAP = 6000, 200
 #: A stronger boundary is taken only if the piece is filled to this share by it.
 MIN_FILL = 0.5
-TOKEN = re.compile(r"\w+|[^\S\n]+|\n|.", re.DOTALL)
 #: From the strongest to the weakest; each match ends at the boundary.
 BOUNDARIES = [
     re.compile(r"\n[^\S\n]*\n\s*"),
@@ -47,77 +51,78 @@ PIECE_FIELDS = [
 ]
 
 
+def _points(text: str) -> tuple[np.ndarray, np.ndarray]:
+    at = np.arange(len(text) + 1)
+    return at, at
+
+
+def _widths(text: str) -> np.ndarray:
+    """Bytes of UTF-8 of each code point."""
+    c = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+    return 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000)
+
+
+def _bytes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    return np.arange(len(text) + 1), np.append(0, np.cumsum(_widths(text)))
+
+
+def _tokens(text: str) -> tuple[np.ndarray, np.ndarray]:
+    own = tokenizer(vocabulary())
+    ids = own.plain.encode_ordinary(text)
+    begins = np.append(0, np.cumsum(own.length[np.array(ids, dtype=np.int64)])) if ids else np.zeros(1, dtype=np.int64)
+    points = np.append(0, np.cumsum(_widths(text)))
+    # a token may begin inside a character; there is no cut
+    place = np.searchsorted(points, begins)
+    clean = points[np.minimum(place, len(text))] == begins
+    return place[clean], np.flatnonzero(clean)
+
+
+#: For each unit, a text's token offsets in code points and the sum of sizes before each, both with the end of the text.
+UNITS: dict[str, Callable[[str], tuple[np.ndarray, np.ndarray]]] = {"chars": _points, "bytes": _bytes, "tokens": _tokens}
+
+
 @dataclass(frozen=True)
 class Cutter:
-    """Cuts texts; sizes are code points, or bytes of UTF-8 with ``unit="bytes"``."""
+    """Cuts texts; limit and overlap are in code points, bytes of UTF-8 or tokens of the public tokenizer."""
 
     limit: int = LIMIT
     overlap: int = OVERLAP
     unit: str = "chars"
 
     def __post_init__(self) -> None:
-        if self.limit < 1 or not 0 <= self.overlap < self.limit or self.unit not in ("chars", "bytes"):
-            raise ValueError("limit must be positive, overlap smaller than it, unit chars or bytes")
-
-    def size(self, text: str) -> int:
-        return len(text) if self.unit == "chars" else len(text.encode())
+        if self.limit < 1 or not 0 <= self.overlap < self.limit or self.unit not in UNITS:
+            raise ValueError(f"limit must be positive, overlap smaller than it, unit one of {', '.join(UNITS)}")
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         """Code point offsets of the pieces, in order."""
-        if self.size(text) <= self.limit:
+        at, prefix = UNITS[self.unit](text)
+        if prefix[-1] <= self.limit:
             return [(0, len(text))]
-        # prefix[i]: size of the text before token i; at[i]: its code point offset
-        at = np.fromiter((m.start() for m in TOKEN.finditer(text)), dtype=np.int64)
-        at = np.append(at, len(text))
-        if self.unit == "chars":
-            prefix = at
-        else:
-            prefix = np.append(0, np.cumsum([len(text[a:b].encode()) for a, b in zip(at[:-1], at[1:])]))
-        kinds = [[m.end() for m in b.finditer(text)] for b in BOUNDARIES]
-        spans, start, done = [], 0, 0
+        marks = [np.fromiter((m.end() for m in b.finditer(text)), dtype=np.int64) for b in BOUNDARIES]
+        # boundaries, as numbers of tokens; one inside a token is none
+        kinds = [k[at[k] == m] for m in marks for k in [np.searchsorted(at, m)]]
+        spans, start, done, last = [], 0, 0, len(at) - 1
         while True:
-            room = self._reach(text, at, prefix, start)
-            if room >= len(text):
-                return [*spans, (start, len(text))]
-            least = max(start + max(1, int((room - start) * MIN_FILL)), done + 1)
-            found = (e[i] for e in kinds if (i := bisect_right(e, room) - 1) >= 0 and e[i] >= least)
-            end = next(found, 0) or self._hard_end(text, least, room)
-            spans.append((start, end))
-            back = self._back(text, start, end)
-            start = next((e[i] for e in kinds[2:] if (i := bisect_left(e, back)) < len(e) and e[i] < end), back)
-            while start < end and unicodedata.combining(text[start]):
-                start += 1
-            while start < end and self._reach(text, at, prefix, start) <= end:
+            room = max(int(np.searchsorted(prefix, prefix[start] + self.limit, "right")) - 1, start + 1, done + 1)
+            if room >= last:
+                return [*spans, (int(at[start]), len(text))]
+            fill = int(np.searchsorted(prefix, prefix[start] + max(1, (prefix[room] - prefix[start]) * MIN_FILL)))
+            least = max(fill, done + 1)
+            found = (int(e[i]) for e in kinds if (i := int(np.searchsorted(e, room, "right")) - 1) >= 0 and e[i] >= least)
+            end = next(found, 0) or self._hard_end(text, at, least, room)
+            spans.append((int(at[start]), int(at[end])))
+            back = max(int(np.searchsorted(prefix, prefix[end] - self.overlap)), start + 1)
+            start = next((int(e[i]) for e in kinds[2:] if (i := int(np.searchsorted(e, back))) < len(e) and e[i] < end), back)
+            while start < end and unicodedata.combining(text[at[start]]):
                 start += 1
+            # the next piece has to go beyond the end of this one
+            start = min(end, max(start, int(np.searchsorted(prefix, prefix[end + 1] - self.limit))))
             done = end
 
-    def _reach(self, text: str, at: np.ndarray, prefix: np.ndarray, start: int) -> int:
-        """The last code point offset to which a piece from ``start`` may extend."""
-        if self.unit == "chars":
-            return start + self.limit
-        i = int(np.searchsorted(at, start, "right")) - 1
-        most = int(prefix[i]) + len(text[at[i] : start].encode()) + self.limit
-        j = int(np.searchsorted(prefix, most, "right")) - 1
-        end, left = int(at[j]), most - int(prefix[j])
-        if end < start:
-            end, left = start, self.limit
-        while end < len(text) and (n := len(text[end].encode())) <= left:
-            end, left = end + 1, left - n
-        return max(end, start + 1)
-
-    def _back(self, text: str, start: int, end: int) -> int:
-        """The first offset from which the next piece may repeat the end of this one."""
-        if self.unit == "chars":
-            return max(end - self.overlap, start + 1)
-        back, room = end, self.overlap
-        while back > start + 1 and (n := len(text[back - 1].encode())) <= room:
-            back, room = back - 1, room - n
-        return back
-
     @staticmethod
-    def _hard_end(text: str, least: int, room: int) -> int:
+    def _hard_end(text: str, at: np.ndarray, least: int, room: int) -> int:
         cut = room
-        while cut > least and unicodedata.combining(text[cut]):
+        while cut > least and unicodedata.combining(text[at[cut]]):
             cut -= 1
         return cut if cut > least else room
 
@@ -125,12 +130,11 @@ class Cutter:
 def split_items(df: DataFrame, text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, unit: str = "chars") -> DataFrame:
     """One row for each piece of each row of ``df``: its columns except ``text``, and the columns of PIECE_FIELDS.
 
-    Items under the limit stay in the JVM; only oversized ones go through Python. No shuffle.
+    Items that can't be over the limit stay in the JVM (no token is shorter than a byte); only the others go through Python. No shuffle.
     """
     cutter = Cutter(limit, overlap, unit)
     names = {f.name.lower() for f in PIECE_FIELDS}
     kept = [c for c in df.columns if c != text and c.lower() not in names]
-    size = F.length(F.col(f"`{text}`")) if unit == "chars" else F.octet_length(F.col(f"`{text}`"))
     base = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("piece_text")).where(F.col("piece_text").isNotNull())
     size = F.length("piece_text") if unit == "chars" else F.octet_length("piece_text")
     short = base.where(size <= limit).select(
