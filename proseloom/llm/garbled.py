@@ -1,27 +1,32 @@
 """Text that was decoded with the wrong character encoding.
 
 From every distinct clean word of the corpus, and from every distinct character beyond ASCII, the forms are generated that
-it takes when it is encoded in one encoding and decoded in another, under all chains below, once or twice. The tokens of
-the records are joined by hash with that table; what joins is garbled, and the original of the joined row, which by
-construction gives exactly that garbled form again, takes its place.
+it takes when it is encoded in one encoding and decoded in another, under all chains below: UTF-8 read in each of WIDE, that read once
+more in each of WIDE, one byte a character under NARROW, and LOSSY ones. The tokens of the records are joined by hash with that
+table; what joins is garbled, and the original of the joined row, which by construction gives exactly that garbled form
+again, takes its place.
 
-Tokens. A word is a run of ASCII letters and characters beyond ASCII with at least one of the latter. A unit is what a
-wrong decoding makes of one character of UTF-8: a lead character and its continuations; units stand for themselves,
-inside words too, since a passage can be garbled in part. A row of adjoining units is one more token (a character that
-was garbled twice looks like this).
+Tokens. A word is a run of ASCII letters and characters beyond ASCII with at least one of the latter; kana and ideographs, which
+stand beside each other without blanks, part it. A unit is what a wrong decoding makes of one character of UTF-8: a lead
+character and its continuations; units stand for themselves, inside words too, since a passage can be garbled in part.
+Two to four adjoining units are one more token each (what a character of two to four bytes turns into when it is garbled twice).
 
 Evidence. A unit is garbled if the corpus has its original UNIT_RATIO times as often as the unit. A word is garbled if its
 original is RATIO times as frequent in the corpus as it is itself, so that real words which happen to be what another word
 would turn into stay. Where another token of the field is garbled by the same chain, SAME_RATIO times is enough, unless
-the original may be garbled itself. A single sign counts as garbled only for a dash, quotation mark, bullet or ellipsis. U+FFFD and C1 control characters are always the trace of a wrong decoding.
+the original may be garbled itself. A single sign counts as garbled only for a dash, quotation mark, bullet or ellipsis.
+U+FFFD and C1 control characters are always the trace of a wrong decoding; where no form joins they have no original, and the
+result says so (``traces``).
 
 Only what is displayed counts: tags, comments, styles and scripts of HTML don't, and character references are what
 they stand for. Defined results: null, empty and plain ASCII fields are sound; a field is restored in part where only part
-of it can be; rows delivered again give the same result once.
+of it can be, and all else in it stays byte for byte; rows delivered again give the same result once; a token with two originals gets
+that of the longer kind of token, then the more frequent one.
 """
 
 from __future__ import annotations
 
+import codecs
 import html
 import re
 from collections.abc import Iterator
@@ -46,44 +51,57 @@ NARROW = [
 ]
 LOSSY = [("windows-1252", "utf-8"), ("cp1251", "utf-8"), ("mac_roman", "utf-8"), ("utf-8", "ascii"), ("utf-8", "cp1252")]
 #: A character for each chain: one wrong decoding of UTF-8, two of them, one byte a character, and those that lose bytes.
-CHAINS = {c: chr(0x30 + i) for i, c in enumerate([*((d,) for d in WIDE), *((d, e) for d in WIDE for e in WIDE[:3]), *(("narrow", *c) for c in NARROW), *(("lossy", *c) for c in LOSSY)])}
+CHAINS = {c: chr(0x100 + i) for i, c in enumerate([*((d,) for d in WIDE), *((d, e) for d in WIDE for e in WIDE), *(("narrow", *c) for c in NARROW), *(("lossy", *c) for c in LOSSY)])}
 HIDDEN = re.compile(r"<!--.*?-->|<(style|script|template|title)\b.*?</\1\s*>|<[^>]*>", re.DOTALL | re.IGNORECASE)
 WORD = re.compile(r"[A-Za-z]*[^\x00-\x7F][A-Za-z\x80-\U0010FFFF]*")
-CJK = re.compile(r"[぀-ヿ㐀-鿿]")
+CJK, OTHER = re.compile(r"[぀-ヿ㐀-鿿]"), re.compile(r"[^぀-ヿ㐀-鿿]+")
 #: Signs that stand alone between words.
 SIGN_CHAINS = {("windows-1252", "cp437"), ("windows-1252", "cp850")}
 MARKS = set(map(chr, [0x2013, 0x2014, 0x2018, 0x2019, 0x201C, 0x201D, 0x2022, 0x2026]))
+#: Character references, as html.unescape reads them.
+REFERENCE = re.compile(r"&(?:#(?:[0-9]+|[xX][0-9a-fA-F]+);?|[^\t\n\f <&#;]{1,32};?)")
+#: Tasks that the rows of one token are dealt to.
+SALT = 8
 TRACE = re.compile(r"[\uFFFD\x80-\x84\x86-\x9F]")
 
 
+def _page(encoding: str) -> str:
+    """What each byte is in a one-byte encoding; as browsers do it, bytes that Windows-1252 leaves open become C1 control characters."""
+    if encoding == "windows-1252":
+        return "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(256))
+    return bytes(range(256)).decode(encoding, "replace")
+
+
+PAGES = {d: _page(d) for d in {*WIDE, *LATIN, *CYRILLIC}}
+#: How to write them; what is U+FFFD in a page can't be written.
+_BYTES = {d: codecs.charmap_build(page.replace("\uFFFD", "\uFFFE")) for d, page in PAGES.items()}
+
+
 def encode(text: str, encoding: str) -> bytes | None:
     try:
-        if encoding != "windows-1252":
-            return text.encode(encoding)
-        return b"".join(bytes([ord(c)]) if 0x7F < ord(c) < 0xA0 else c.encode("cp1252") for c in text)
+        return codecs.charmap_encode(text, "strict", _BYTES[encoding])[0] if encoding in PAGES else text.encode(encoding)
     except UnicodeEncodeError:
         return None
 
 
 def decode(data: bytes, encoding: str) -> str:
-    """As browsers do it: bytes that Windows-1252 leaves open become C1 control characters."""
-    if encoding == "windows-1252":
-        return "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in data)
-    return data.decode(encoding, "replace")
+    return codecs.charmap_decode(data, "strict", PAGES[encoding])[0] if encoding in PAGES else data.decode(encoding, "replace")
 
 
 def _units() -> list[re.Pattern[str]]:
     found = []
     for d in WIDE:
-        chars = [decode(bytes([b]), d) for b in range(256)]
-        group = lambda a, b, chars=chars: "[" + re.escape("".join(chars[a:b])) + "]"
-        cont = group(0x80, 0xC0)
+        group = lambda a, b, page=PAGES[d]: "[" + re.escape(page[a:b].replace("\uFFFD", "")) + "]"
+        # strict readers of Windows-1252 lose five of the continuations
+        cont = group(0x80, 0xC0)[:-1] + ("\uFFFD]" if d == "windows-1252" else "]")
         found.append(f"{group(0xC2, 0xE0)}{cont}|{group(0xE0, 0xF0)}{cont}{{2}}|{group(0xF0, 0xF5)}{cont}{{3}}")
     return [re.compile(x) for x in found]
 
 
 UNITS = _units()
-_ROWS = [re.compile(f"(?:{u.pattern}){{2,7}}") for u in UNITS]
+_ROWS = [re.compile(f"(?:{u.pattern})+") for u in UNITS]
+#: A character has two to four bytes, so it takes as many units when it is garbled twice.
+ROW_UNITS = (4, 3, 2, 1)
 
 
 def visible(text: str | None, markup: bool) -> str:
@@ -92,25 +110,38 @@ def visible(text: str | None, markup: bool) -> str:
     return html.unescape(HIDDEN.sub(" ", text))
 
 
+def words_of(text: str) -> Iterator[tuple[int, str]]:
+    """The words of a displayed text with their places."""
+    for m in WORD.finditer(text):
+        if not CJK.search(m.group()):
+            yield m.start(), m.group()
+            continue
+        for part in OTHER.finditer(m.group()):
+            if not part.group().isascii():
+                yield m.start() + part.start(), part.group()
+
+
+def unit_rows(word: str) -> Iterator[list[tuple[int, int]]]:
+    """The rows of adjoining units of a word, as the places of their units, by each wrong decoding."""
+    for unit, row in zip(UNITS, _ROWS):
+        for m in row.finditer(word):
+            yield [u.span() for u in unit.finditer(word, m.start(), m.end())]
+
+
 @lru_cache(maxsize=100_000)
 def _of_word(word: str) -> tuple[tuple[str, int], ...]:
-    chars = {(c, CHAR) for c in word if ord(c) > 127}
-    if CJK.search(word):
-        return tuple(chars)
     found = {(word, WHOLE)}
-    for unit, row in zip(UNITS, _ROWS):
-        units = unit.findall(word)
-        if units:
-            found.update((u, UNIT) for u in units)
-            found.update((u, UNIT) for u in row.findall(word))
-    return (*chars, *found)
+    for row in unit_rows(word):
+        for n in ROW_UNITS:
+            found.update((word[row[i][0] : row[i + n - 1][1]], UNIT) for i in range(len(row) - n + 1))
+    return tuple(found)
 
 
 def tokens(text: str) -> set[tuple[str, int]]:
     """The characters beyond ASCII, the words, and the units and short rows of units of a displayed text, with their kinds."""
     if text.isascii():
         return set()
-    return {t for word in set(WORD.findall(text)) for t in _of_word(word)}
+    return {(c, CHAR) for c in set(text) if c > "\x7F"} | {t for word in {w for _, w in words_of(text)} for t in _of_word(word)}
 
 
 def forms(word: str, kind: int) -> Iterator[tuple[str, int, str]]:
@@ -121,10 +152,15 @@ def forms(word: str, kind: int) -> Iterator[tuple[str, int, str]]:
         form = decode(data, d)
         made[form] = made.get(form, "") + CHAINS[d,]
         again = form.encode()
-        for e in WIDE[:3]:
+        for e in WIDE:
             twice = decode(again, e)
             made[twice] = made.get(twice, "") + CHAINS[d, e]
     if kind == CHAR:
+        # of the readings that lose bytes only that one is so common that a single character is guessed from it
+        made = {form: chains for form, chains in made.items() if "\uFFFD" not in form}
+        strict = data.decode("cp1252", "replace")
+        if "\uFFFD" in strict[1:]:
+            made[strict] = CHAINS["lossy", "utf-8", "cp1252"]
         yield from ((form, UNIT, chains) for form, chains in made.items())
         return
     bytes_of = {a: encode(word, a) for a in {a for a, _ in (*NARROW, *LOSSY)}}
@@ -181,9 +217,12 @@ def garbled_table(found: DataFrame) -> DataFrame:
             types = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["token", "kind", "original", "n_original", "chains"])
 
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = written(found.groupBy("token", "kind").agg(F.count("*").alias("n")), "garbled-words")
-    made = words.where(F.col("kind") != UNIT).mapInArrow(generate, "token string, kind int, original string, n_original long, chains string")
-    joined = words.join(made, ["token", "kind"]).withColumn("sure", F.expr(f"n_original >= n * CASE WHEN kind = {UNIT} THEN {UNIT_RATIO} ELSE {RATIO} END"))
+    # a word makes some hundred forms: the words are dealt to all tasks, however small their table is
+    dealt = words.where(F.col("kind") != UNIT).repartition(parts, "token", "kind")
+    made = dealt.mapInArrow(generate, "token string, kind int, original string, n_original long, chains string")
+    joined = words.hint("merge").join(made, ["token", "kind"]).withColumn("sure", F.expr(f"n_original >= n * CASE WHEN kind = {UNIT} THEN {UNIT_RATIO} ELSE {RATIO} END"))
     joined = written(joined.where(f"sure OR (kind = {WHOLE} AND n_original >= n * {SAME_RATIO})"), "garbled-pairs")
     best = joined.where("sure").groupBy("token", "kind").agg(F.max(F.struct("n_original", "original", "chains")).alias("b")).select("token", "kind", "b.original", "b.n_original", "b.chains", F.lit(True).alias("sure"))
     known = best.where(f"kind = {WHOLE}").select("token", "kind")
@@ -194,41 +233,81 @@ def garbled_table(found: DataFrame) -> DataFrame:
 
 
 def garbled_tokens(df: DataFrame, key: str, fields: list[tuple[str, bool]]) -> DataFrame:
-    """(key, field_name, token, original) of the garbled tokens of every record."""
+    """(key, field_name, token, kind, original) of the garbled tokens of every record; ``original`` is null for mere traces."""
     found = written(field_tokens(df, key, fields), "garbled-tokens")
-    hits = written(found.join(garbled_table(found), ["token", "kind"]), "garbled-hits")
+    # a garbled sign may stand in a third of all records: its rows are dealt to SALT tasks
+    salted = found.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALT)).cast("int"))
+    known = garbled_table(found).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    hits = written(salted.join(known, ["token", "kind", "_salt"]).drop("_salt"), "garbled-hits")
     sure, field = hits.where("sure"), [key, "field_name"]
     chain = F.explode(F.filter(F.split("chains", ""), lambda c: c != "")).alias("chain")
-    near = hits.where("NOT sure").select(*field, "token", "original", "n_original", chain).join(sure.select(*field, chain).distinct(), [*field, "chain"])
-    near = near.groupBy(*field, "token").agg(F.max(F.struct("n_original", "original")).alias("b"))
-    return sure.select(*field, "token", "original").unionByName(near.select(*field, "token", F.col("b.original").alias("original")))
+    near = hits.where("NOT sure").select(*field, "token", "kind", "original", "n_original", chain).join(sure.select(*field, chain).distinct(), [*field, "chain"])
+    near = near.groupBy(*field, "token", "kind").agg(F.max(F.struct("n_original", "original")).alias("b"))
+    return sure.select(*field, "token", "kind", "original").unionByName(near.select(*field, "token", "kind", F.col("b.original").alias("original")))
+
+
+def edits(text: str, pairs: dict[str, str]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, new) for the garbled tokens of a displayed text: rows of units, longest first, and units; else the word."""
+    for at, word in words_of(text):
+        taken: list[tuple[int, int, str]] = []
+        for n in ROW_UNITS:
+            for row in unit_rows(word):
+                i = 0
+                while i + n <= len(row):
+                    a, z = row[i][0], row[i + n - 1][1]
+                    new = pairs.get(word[a:z])
+                    if new is not None and all(z <= x or y <= a for x, y, _ in taken):
+                        taken.append((a, z, new))
+                        i += n
+                    else:
+                        i += 1
+        if not taken and word in pairs:
+            taken = [(0, len(word), pairs[word])]
+        yield from ((at + a, at + z, new) for a, z, new in sorted(taken))
 
 
 def restore_text(text: str, pairs: dict[str, str], markup: bool) -> str:
-    """``text`` with the tokens of ``pairs`` replaced, rows of units before units before words."""
-    if markup:
-        out, last = [], 0
-        for m in HIDDEN.finditer(text):
-            out += [_restore_markup(text[last : m.start()], pairs), m.group()]
-            last = m.end()
-        return "".join([*out, _restore_markup(text[last:], pairs)])
-    for pattern in (*_ROWS, *UNITS, WORD):
-        text = pattern.sub(lambda m: pairs.get(m.group(), m.group()), text)
-    return text
-
-
-def _restore_markup(text: str, pairs: dict[str, str]) -> str:
-    shown = html.unescape(text)
-    better = restore_text(shown, pairs, False)
-    return text if better == shown else html.escape(better, quote=False)
+    """``text`` with its garbled tokens replaced; all else stays as it is, character references of markup included."""
+    if not markup:
+        stretches = [(0, len(text))]
+    else:
+        bounds = [0, *(x for m in HIDDEN.finditer(text) for x in m.span()), len(text)]
+        stretches = list(zip(bounds[::2], bounds[1::2]))
+    out, last = [], 0
+    for begin, end in stretches:
+        shown, place = (text[begin:end], None) if not markup else _shown(text[begin:end])
+        for a, z, new in edits(shown, pairs):
+            x, y = (a, z) if place is None else (place[a], place[z])
+            if place is not None and (a and place[a - 1] == x or y == place[z - 1]):
+                continue  # a part of what one reference stands for
+            out += [text[last : begin + x], html.escape(new, quote=False) if markup else new]
+            last = begin + y
+    return "".join([*out, text[last:]])
+
+
+def _shown(text: str) -> tuple[str, list[int] | None]:
+    """Markup without tags as displayed, and for each displayed character where it begins; one place more for the end."""
+    if "&" not in text:
+        return text, None
+    out, place, last = [], [], 0
+    for m in REFERENCE.finditer(text):
+        out += text[last : m.start()]
+        place += range(last, m.start())
+        shown = html.unescape(m.group())
+        out += shown
+        place += [m.start()] * len(shown)
+        last = m.end()
+    out += text[last:]
+    return "".join(out), [*place, *range(last, len(text) + 1)]
 
 
 def restored(df: DataFrame, found: DataFrame, key: str, fields: list[tuple[str, bool]]) -> DataFrame:
-    """(key, field_name, restored, n_garbled, n_restored) of every affected field."""
-    pairs = found.groupBy(key, "field_name").agg(
-        F.map_from_entries(F.collect_set(F.when(F.col("original").isNotNull(), F.struct("token", "original")))).alias("pairs"),
-        F.countDistinct("token").alias("n_garbled"),
-    )
+    """(key, field_name, restored, n_garbled, n_restored, n_traces) of every affected field; ``n_traces`` tokens have no original."""
+    one = found.groupBy(key, "field_name", "token").agg(F.max(F.struct("kind", "original")).alias("b")).select(key, "field_name", "token", "b.original")
+    pairs = one.groupBy(key, "field_name").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("original").isNotNull(), F.struct("token", "original")))).alias("pairs"),
+        F.count("*").alias("n_garbled"), F.count_if(F.col("original").isNull()).alias("n_traces"),
+    )
     long = df.select(key, F.explode(F.array(*[F.struct(F.lit(n).alias("field_name"), F.col(n).alias("value"), F.lit(m).alias("markup")) for n, m in fields])).alias("f"))
     hit = long.select(key, "f.*").where("value IS NOT NULL").join(pairs, [key, "field_name"]).dropDuplicates([key, "field_name"])
 
@@ -236,4 +315,4 @@ def restored(df: DataFrame, found: DataFrame, key: str, fields: list[tuple[str,
     def apply(values, maps, markups):
         return values.combine(maps, lambda v, m: (v, dict(m))).combine(markups, lambda x, k: restore_text(x[0], x[1], k))
 
-    return hit.select(key, "field_name", apply("value", "pairs", "markup").alias("restored"), "n_garbled", F.size("pairs").cast("long").alias("n_restored"))
+    return hit.select(key, "field_name", apply("value", "pairs", "markup").alias("restored"), "n_garbled", F.size("pairs").cast("long").alias("n_restored"), "n_traces")

@@ -1,6 +1,6 @@
 import pytest
 
-from proseloom.llm.garbled import decode, encode, garbled_tokens, restored, tokens, visible
+from proseloom.llm.garbled import CHAINS, NARROW, UNIT, WHOLE, WIDE, decode, encode, forms, garbled_tokens, restore_text, restored, tokens, visible
 
 FIELDS = [("text", False), ("html", True)]
 CLEAN = ["la fenêtre où le modèle a été corrigé", "größere Lücke für jede Änderung", "очищенные измерения, обычные настройки", "それぞれのセンサー。", "the farmer’s son – at home"]
@@ -62,3 +62,74 @@ def test_rare_originals_beside_the_same_chain(spark):
     # rare words: restored beside the same chain, left beside another one and alone
     assert back == {200: "die größere sprödere", 201: "die größere " + garble("Prüfung", other)}
     assert {r.key for r in found.collect()} == {200, 201}
+
+
+def test_every_chain_is_in_the_forms():
+    made = {}
+    for form, _, chains in forms("fenêtre", WHOLE):
+        for c in chains:
+            made[c] = form
+    for d in WIDE:
+        once = "fenêtre".encode().decode({"windows-1252": "cp1252"}.get(d, d))
+        assert made[CHAINS[d,]] == once
+        for e in WIDE:
+            assert made[CHAINS[d, e]] == decode(once.encode(), e)
+    for a, b in NARROW:
+        if encode("fenêtre", a) and decode(encode("fenêtre", a), b) != "fenêtre":
+            assert made[CHAINS["narrow", a, b]] == decode(encode("fenêtre", a), b)
+    assert len(set(CHAINS.values())) == len(CHAINS)
+
+
+@pytest.mark.parametrize("d", WIDE)
+@pytest.mark.parametrize("e", WIDE)
+def test_characters_garbled_twice_inside_words(d, e):
+    # four characters in a row make eight units and more, by any two of the encodings
+    word = "xy" + decode(decode("éèüß".encode(), d).encode(), e) + "z"
+    if "\ufffd" in word:
+        return  # bytes were lost; such fields are found by that sign
+    found = tokens(word)
+    pairs = {}
+    for c in "éèüß":
+        for form, kind, chains in forms(c, 0):
+            if CHAINS[d, e] in chains:
+                assert (form, UNIT) in found and kind == UNIT
+                pairs[form] = c
+    assert restore_text(word, pairs, False) == "xyéèüßz"
+
+
+def test_units_beside_kana():
+    text = "それぞれcafÃ©のセンサー"
+    assert ("Ã©", UNIT) in tokens(text) and ("cafÃ©", WHOLE) in tokens(text)
+    assert restore_text(text, {"Ã©": "é"}, False) == "それぞれcaféのセンサー"
+
+
+def test_sound_markup_stays():
+    pairs = {"Ã©": "é", "â€”": "—", "Ã©<": "x"}
+    assert restore_text("a&nbsp;b &copy; Ã© &quot;x&quot; &amp;Ã© <b title='Ã©'>&Atilde;&copy;&Atilde;</b> â€”", pairs, True) == "a&nbsp;b &copy; é &quot;x&quot; &amp;é <b title='Ã©'>é&Atilde;</b> —"
+    assert restore_text("no &lt;tags&gt; Ã©", {"Ã©": "<"}, True) == "no &lt;tags&gt; &lt;"
+
+
+def test_one_original_for_a_token_of_two_kinds(spark):
+    df = spark.createDataFrame([(1, "xx Ã© yy", None)], "key long, text string, html string")
+    found = spark.createDataFrame([(1, "text", "Ã©", 1, "word"), (1, "text", "Ã©", 2, "é"), (1, "text", "Ã©", 2, "e"), (1, "text", "\ufffd", 0, None)], "key long, field_name string, token string, kind int, original string")
+    r = restored(df, found, "key", FIELDS).first()
+    assert (r.restored, r.n_garbled, r.n_restored, r.n_traces) == ("xx é yy", 2, 1, 1)
+
+
+def test_traces_have_no_original(spark):
+    df = spark.createDataFrame([(1, "lost \ufffd here", None), (2, "fine", None)], "key long, text string, html string")
+    assert [(r.key, r.token, r.original) for r in garbled_tokens(df, "key", FIELDS).collect()] == [(1, "\ufffd", None)]
+
+
+def test_a_frequent_garbled_sign_is_dealt_to_many_tasks(spark):
+    rows = [(i, "it’s a farmer’s word", None) for i in range(300)] + [(1000 + i, garble("it’s here", ("utf-8", "windows-1252")), None) for i in range(90)]
+    df = spark.createDataFrame(rows, "key long, text string, html string")
+    found = garbled_tokens(df, "key", FIELDS)
+    assert {r.key for r in found.collect()} == {1000 + i for i in range(90)}
+
+
+def test_a_quotation_mark_that_lost_a_byte(spark):
+    wrong = "the “word”".encode().decode("cp1252", "replace")
+    df = spark.createDataFrame([(i, "a “quoted” word", None) for i in range(20)] + [(100, wrong, None)], "key long, text string, html string")
+    r = restored(df, garbled_tokens(df, "key", FIELDS), "key", FIELDS).first()
+    assert r.restored == "the “word”" and r.n_restored == 2
