@@ -11,11 +11,9 @@ fewest signs of another spelling (letters of two scripts side by side, full-widt
 is least in code point order. It is joined back to all members. ``plain_form`` gives every text, alone in its class or not,
 the mapped and composed form, which is the same for all texts that look the same, in whatever table.
 
-Grouping by collation costs much more than grouping by bytes, and nearly all texts are alone in their class. So a hash that
-is the same for all texts of a class comes first: over the mapped text without all that canonical equivalence can
-touch (accented letters and the letters before combining marks). Only values whose hash holds two different texts go to
-the collation. The hash is coarser than the collation, so nothing is lost. Texts are not shuffled for this: one pass writes a
-row of two hashes for each of them, and the few texts that have a rival are fetched by a second scan.
+Grouping by collation costs much more than grouping by bytes, and nearly all texts are alone in their class. So a hash of the
+plain form comes first, and only values whose hash holds two different texts go to the collation. Texts are not shuffled
+for this: one pass writes a row of two hashes for each of them, and the few texts that have a rival are fetched by a second scan.
 
 Defined results: null texts, and texts that show nothing, are in no class and have no canonical form; rows of one key with
 the same text count once; a text alone in its class is its own canonical form. Spaces at the ends of a text and of a line
@@ -24,6 +22,7 @@ show nothing; the number of spaces inside a line does show.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -45,7 +44,7 @@ LOOKALIKES = [
     ("ë", "ё"), ("Ë", "Ё"), ("ï", "ї"), ("Ï", "Ї"), ("è", "ѐ"), ("È", "Ѐ"),
     # signs
     (chr(0xC5), chr(0x212B)), (chr(0xB5), chr(0x3BC)), (chr(0x3A9), chr(0x2126)), (chr(0x2206), chr(0x394)), ("-", chr(0x2010) + chr(0x2011)),
-    (";", chr(0x37E)), (chr(0xB7), chr(0x387)),
+    (";", chr(0x37E)), (chr(0xB7), chr(0x387)), ("`", chr(0x1FEF)),
 ]
 #: Capitals of Cherokee and of Lisu as they look in Latin, in the order of the Latin ones.
 CHEROKEE = list(zip("ABCDEGHJKLMPRSTVWYZ", map(chr, [0x13AA, 0x13F4, 0x13DF, 0x13A0, 0x13AC, 0x13C0, 0x13BB, 0x13AB, 0x13E6, 0x13DE, 0x13B7, 0x13E2, 0x13A1, 0x13DA, 0x13A2, 0x13D9, 0x13B3, 0x13A9, 0x13C3])))
@@ -63,13 +62,17 @@ INVISIBLE = "".join(
     )
 )
 MARKS = r"\u0300-\u036F\u3099\u309A"
-#: What canonical equivalence can touch: combining marks with the letter before them, and all but these plain letters.
-TOUCHED = rf".?[{MARKS}]+|[^\x00-\x7F\u0430-\u0438\u043A-\u044F\u0410-\u0418\u041A-\u042F\u4E00-\u9FFF]"
-#: Signs of another spelling: letters of two scripts side by side, and forms that have a plainer one.
-ODD = (
-    rf"[A-Za-z][\u0370-\u04FF]|[\u0370-\u04FF][A-Za-z]|[{MARKS}\uFF01-\uFF5E\uFB00-\uFB06\u0261\u2010\u2011\u13A0-\u13F5\uA4D0-\uA4FF\x{{1D400}}-\x{{1D7FF}}{SPACES}"
-    + "".join(rf"\x{{{ord(c):X}}}" for c in INVISIBLE) + "]"
-)
+
+
+def ranges(chars: str) -> str:
+    """The inside of a character class for Java; code points side by side make one range."""
+    codes, found = sorted(map(ord, set(chars))), []
+    for c in codes:
+        if found and found[-1][1] == c - 1:
+            found[-1][1] = c
+        else:
+            found.append([c, c])
+    return "".join(rf"\x{{{a:X}}}" + (rf"-\x{{{z:X}}}" if z > a else "") for a, z in found)
 
 
 def _mathematical() -> list[tuple[str, str]]:
@@ -88,40 +91,46 @@ def mapping() -> tuple[str, str]:
     pairs = [(other, plain) for plain, others in LOOKALIKES for other in others]
     pairs += [(chr(c + 0xFEE0), chr(c)) for c in range(0x21, 0x7F)]
     pairs += [(other, plain) for plain, other in (*CHEROKEE, *LISU)] + _mathematical()
+    # ideographs that are canonically others, as the hash has to know them
+    pairs += [(chr(c), unicodedata.normalize("NFC", chr(c))) for c in (*range(0xF900, 0xFB00), *range(0x2F800, 0x2FA20)) if unicodedata.decomposition(chr(c))]
     pairs += [(s, " ") for s in SPACES]
     return "".join(a for a, _ in pairs) + INVISIBLE, "".join(b for _, b in pairs)
 
 
 #: Most texts with rivals whose hashes are broadcast.
 MAX_BROADCAST = 1_000_000
+#: What is not printable ASCII, tab or line end.
+SPECIAL = r"[^\t\n\r\x20-\x7E]"
+_FORMS = mapping()[0] + "".join(a for a, _ in LIGATURES)
+_TO = str.maketrans(*(x[: len(mapping()[1])] for x in mapping()), mapping()[0][len(mapping()[1]) :]) | str.maketrans(dict(LIGATURES))
+#: Any character that may be mapped; beyond the first plane a set of single ones would be tried one by one.
+_MAPPED = re.compile("[" + re.escape("".join(c for c in _FORMS if c < "\U00010000")) + "\U00010000-\U0010FFFF]")
+#: Signs of another spelling: letters of two scripts side by side, and forms that have a plainer one.
+ODD = rf"[A-Za-z][\u0370-\u04FF]|[\u0370-\u04FF][A-Za-z]|[{MARKS}\u0261\u2010\u2011{ranges(INVISIBLE + SPACES + ''.join(c for c in _FORMS if ord(c) > 0x13A0))}]"
 
 
-def mapped(text: Column) -> Column:
-    """The text as a reader sees it, in plain characters; combining accents stay as they are."""
-    source, target = mapping()
-    # nearly all characters are plain, and a text without others needs no mapping
-    plain = F.translate(text, source, target)
-    for form, letters in LIGATURES:
-        plain = F.replace(plain, F.lit(form), F.lit(letters))
-    plain = F.when(text.rlike(r"[^\x00-\x7F]"), plain).otherwise(text)
-    plain = F.replace(F.replace(plain, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    return F.regexp_replace(plain, r"^[ \t\n]+|[ \t]+(?=\n)|[ \t\n]+$", "")
-
-
-def coarse_hash(plain: Column) -> Column:
-    """The same for all texts that are canonically equivalent."""
-    rest = F.regexp_replace(plain, TOUCHED, "")
-    return F.xxhash64(F.when(plain.rlike(r"[^\x00-\x7F]"), rest).otherwise(plain))
+def shown(text: str) -> str:
+    """The text in plain, composed characters."""
+    return unicodedata.normalize("NFC", text.translate(_TO) if _MAPPED.search(text) else text)
 
 
 @F.udf(T.StringType(), useArrow=True)
-def composed(text: str | None) -> str | None:
-    return None if text is None else unicodedata.normalize("NFC", text)
+def _changed(text: str | None) -> str | None:
+    """``shown``, where it is another string."""
+    if text is None:
+        return None
+    plain = shown(text)
+    return None if plain == text else plain
 
 
 def plain_form(text: Column) -> Column:
-    """The consistent form of a text: what it shows in plain, composed characters."""
-    return composed(mapped(text))
+    """The consistent form of a text: what a reader sees, in plain, composed characters, without spaces at the ends of text and lines.
+
+    Texts of printable ASCII, and those that are plain already, don't come back from Python.
+    """
+    plain = F.coalesce(_changed(F.when(text.rlike(SPECIAL), text)), text)
+    plain = F.btrim(F.replace(F.replace(plain, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), F.lit(" \t\n"))
+    return F.when(plain.rlike(r"[ \t]\n"), F.regexp_replace(plain, r"[ \t]+\n", "\n")).otherwise(plain)
 
 
 def lookalike_members(df: DataFrame, text: str = "text") -> DataFrame:
@@ -130,8 +139,8 @@ def lookalike_members(df: DataFrame, text: str = "text") -> DataFrame:
     ``df`` has one text of a record in each row; rows that are equal count once. It is scanned twice.
     """
     raw = F.xxhash64(text, F.lit(7)).alias("_raw")
-    seen = df.where(F.col(text).isNotNull()).select(raw, mapped(F.col(text)).alias("_plain")).where("_plain <> ''")
-    seen = written(seen.select("_raw", coarse_hash(F.col("_plain")).alias("_hash")), "lookalike-hashes")
+    # the condition comes after the writing, else it would compute the hash once more
+    seen = written(df.where(F.col(text).isNotNull()).select(raw, F.xxhash64(plain_form(F.col(text))).alias("_hash")), "lookalike-hashes").where(F.col("_hash") != F.xxhash64(F.lit("")))
     mixed = seen.groupBy("_hash").agg(F.min("_raw").alias("_low"), F.max("_raw").alias("_high")).where("_low <> _high").select("_hash")
     wanted = written(seen.join(mixed, "_hash", "left_semi").distinct(), "lookalike-wanted")
     # hashes of two long integers; beyond the bound the texts are joined by a shuffle
@@ -139,7 +148,7 @@ def lookalike_members(df: DataFrame, text: str = "text") -> DataFrame:
     rivals = df.withColumn("_raw", raw).join(F.broadcast(wanted) if few else wanted.hint("merge"), "_raw")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rivals = rivals.repartition(parts, "_raw").dropDuplicates(df.columns)
-    rivals = rivals.withColumn("_plain", composed(mapped(F.col(text)))).withColumn("_odd", F.regexp_count(text, F.lit(ODD)))
+    rivals = rivals.withColumn("_plain", plain_form(F.col(text))).withColumn("_odd", F.when(F.col(text).rlike(SPECIAL), F.regexp_count(text, F.lit(ODD))).otherwise(F.lit(0)))
     return classes(written(rivals, "lookalike-composed"), text).drop("_hash")
 
 

@@ -25,6 +25,15 @@ def test_classes(spark):
     assert len({r.class_id for r in got}) == 1 and {r.canonical for r in got} == {SAME[6]}
 
 
+def test_texts_that_look_the_same_have_one_form(spark):
+    groups = [SAME, ["が ギ", "か\u3099 キ\u3099", "が\u3000ギ"], ["\uf900 x", "\u8c48 x"], ["é", "e\u0301", "é\u200b"], ["\u1fef;", "`\u037e"], ["…", " …\n"], ["a\nb", "a \t\r\nb ", "a\rb"], ["", " ", ZERO, "\x01"]]
+    rows = [(i, t) for i, g in enumerate(groups) for t in g]
+    got = {}
+    for r in spark.createDataFrame(rows, "g int, t string").select("g", plain_form(F.col("t")).alias("p")).collect():
+        got.setdefault(r.g, set()).add(r.p)
+    assert all(len(v) == 1 for v in got.values()) and got[len(groups) - 1] == {""} and len(set().union(*got.values())) == len(groups)
+
+
 def test_cyrillic_text_keeps_its_letters(spark):
     df = spark.createDataFrame([(1, "сор и дым"), (2, "сoр и дым")], "key long, text string")
     assert {r.canonical for r in lookalike_members(df).collect()} == {"сор и дым"}
