@@ -104,6 +104,27 @@ class Boost:
         return self.base + sum((self._apply(t, b) for t in self.trees), np.zeros(len(b)))
 
 
+    def upper(self, x: np.ndarray, free: list[int]) -> np.ndarray:
+        """No less than any prediction for rows of ``x``, whatever values the columns ``free`` have."""
+        b = self._bin(np.nan_to_num(np.asarray(x, dtype=np.float64)))
+        total = np.full(len(b), self.base)
+        for feature, cut, value in self.trees:
+            reached, best = [None] * len(feature), np.full(len(b), -np.inf)
+            reached[0] = np.ones(len(b), dtype=bool)
+            for node, here in enumerate(reached):
+                if here is None:
+                    continue
+                if feature[node] < 0:
+                    best[here] = np.maximum(best[here], value[node])
+                elif feature[node] in free:
+                    reached[2 * node + 1] = reached[2 * node + 2] = here
+                else:
+                    right = b[:, feature[node]] > cut[node]
+                    reached[2 * node + 1], reached[2 * node + 2] = here & ~right, here & right
+            total += best
+        return total
+
+
 def folds(groups: np.ndarray, n: int = 5) -> np.ndarray:
     """A fold for each row; whole groups stay together, larger ones are dealt first."""
     names, counts = np.unique(groups, return_counts=True)
