@@ -89,7 +89,7 @@ ADDRESS = [
 _TITLE = r"(?:(?:Dr|Mr|Mrs|Ms|Prof|Herr|Frau|Sr|Sra|Sig|Dott|Mme|M)\.?\s)?"
 NAME = [
     re.compile(_after(".@+-") + rf"(?=({_TITLE}(?:{_PART}|[{_UP}]\.)(?:\s[{_UP}]\.)?\s{_PARTICLE}{_PART})(?![{_IN}@]))"),
-    re.compile(_after(".@+-") + rf"(?=({_PARTICLE}{_PART},\s{_PART})(?![{_IN}@]))"),
+    re.compile(_after(".@+-") + rf"(?=({_PART},\s{_PART})(?![{_IN}@]))"),
     re.compile(_after(".@+-") + rf"(?=({_TITLE}[{_UP}]{{2,}}(?:\s[{_UP}]\.)?\s[{_UP}]{{2,}}(?:-[{_UP}]{{2,}})?)(?![{_IN}@]))"),
 ]
 
@@ -138,12 +138,27 @@ def view(text: str) -> tuple[str, list[int] | None]:
 COMMON = frozenset(view(w)[0] for w in COMMON)
 
 
+#: Where an item may begin; the patterns themselves are only tried there.
+_CAPITAL, _NUMBER, _HOUSE = re.compile(f"[{_UP}]"), re.compile(r"[A-Z+(\d]"), re.compile(r"\d|(?:Flat|Apt|Apartment|Unit|Suite|Room|Floor)\b")
+_STREETS = re.compile(r"Calle|Via|Viale|Rua|Avenida|Av\.|Plaza|Piazza|Rue|Corso|ul\.|Praça")
+_GERMAN = re.compile(r"straße|strasse|str\.|weg|platz|allee|gasse|ufer")
+
+
+def _each(pattern: re.Pattern[str], start: re.Pattern[str], plain: str) -> Iterator[re.Match[str]]:
+    """As ``pattern.finditer``, for a pattern that can only match where ``start`` does."""
+    done = 0
+    for m in start.finditer(plain):
+        if m.start() >= done and (found := pattern.match(plain, m.start())):
+            yield found
+            done = found.end()
+
+
 def propose(plain: str) -> Iterator[tuple[str, int, int]]:
     """(kind, start, end) of every candidate."""
     if _AT.search(plain):
         for m in EMAIL.finditer(plain):
             yield "email", m.start(), m.end()
-    for m in DIGITS.finditer(plain):
+    for m in _each(DIGITS, _NUMBER, plain):
         if sum(c.isdigit() for c in m.group(2)) < 6:
             continue
         a, z = m.span(2)
@@ -153,12 +168,14 @@ def propose(plain: str) -> Iterator[tuple[str, int, int]]:
                 yield kind, m.start() if m.group(1) else a, m.end(3) if m.group(3) else z
         if m.group(4):
             yield "phone", a, m.end()
-    for pattern in ADDRESS:
-        for m in pattern.finditer(plain):
-            yield "address", m.start(), m.end()
-    for pattern in NAME:
-        for m in pattern.finditer(plain):
-            yield "name", m.start(1), m.end(1)
+    for pattern, start in zip(ADDRESS, (_HOUSE, _STREETS, _CAPITAL if _GERMAN.search(plain) else None)):
+        if start is not None:
+            for m in _each(pattern, start, plain):
+                yield "address", m.start(), m.end()
+    for c in _CAPITAL.finditer(plain):
+        for pattern in NAME:
+            if m := pattern.match(plain, c.start()):
+                yield "name", m.start(1), m.end(1)
 
 
 def _class(c: str) -> int:
@@ -172,10 +189,21 @@ def words_of(value: str) -> tuple[str, str]:
     return (parts[0].rstrip(".").lower(), parts[-1].lower()) if parts else ("", "")
 
 
-def measure(plain: str, kind: str, a: int, z: int) -> list[float]:
-    """The features of a candidate; the last ones are for the corpus' counts of a name's words."""
+def measure(plain: str, kind: str, a: int, z: int, known: dict | None = None) -> list[float]:
+    """The features of a candidate; the last ones are for the corpus' counts of a name's words.
+
+    ``known`` keeps what candidates of one text that begin or stand at one place have in common.
+    """
+    known = {} if known is None else known
     value, left, right = plain[a:z], plain[max(0, a - LEFT) : a], plain[z : z + RIGHT]
     near = left[-NEAR:]
+    cues = known.get(a)
+    if cues is None:
+        cues = known[a] = {k: bool(c.search(near)) for k, c in _CUES.items()} | {"reference": bool(REFERENCE.search(near))}
+    words_in = known.get((a, z))
+    if words_in is None:
+        money = bool(MONEY.search(value)) or bool(MONEY.search(right[:5])) or left.rstrip()[-1:] in ("$", "€", "£")
+        words_in = known[a, z] = (bool(STREET.search(value)), bool(MONTH.search(value)), money, bool(POSTAL.search(value)))
     groups = [len(g) for g in re.findall(r"\d+", value)]
     letters = sum(c.isalpha() for c in value)
     digits = sum(groups)
@@ -189,9 +217,9 @@ def measure(plain: str, kind: str, a: int, z: int) -> list[float]:
         len(value), digits, letters, sum(c.isupper() for c in value), len(groups), max(groups, default=0), *g,
         value.startswith("+"), "(" in value, value.count("-"), value.count("."), value.count(" "), value.count("/"), "ext" in value or "x" in value[-6:],
         head if not kind == "name" else 0, value[-1:].isalpha() and digits > 0, bool(DATE.match(value)), value[:1] == "0",
-        bool(_CUES[kind].search(left)), bool(_CUES[kind].search(near)), sum(bool(c.search(near)) for k, c in _CUES.items() if k != kind), bool(REFERENCE.search(near)),
+        bool(_CUES[kind].search(left)), cues[kind], sum(cues[k] for k in KINDS if k != kind), cues["reference"],
         _class(left[-1:]), _class(right[:1]), left.rstrip()[-1:] in (":", ","), bool(left.strip()), bool(right.strip()),
-        bool(STREET.search(value)), bool(MONTH.search(value)), bool(MONEY.search(value)) or bool(MONEY.search(right[:5])) or left.rstrip()[-1:] in ("$", "€", "£"), bool(POSTAL.search(value)),
+        *words_in,
         value.count(","), value.count("\n"), len(words), value[:1].isdigit(), dots, len(domain) - domain.rfind(".") - 1 if domain else 0,
         bool(re.match(_TITLE + "$", words[0] + " ")) if kind == "name" and words else 0, bool(re.search(r"\b[A-Z]\.", value)),
         sum(w.strip(".,").lower() in COMMON for w in words[:4]), sum(c.isupper() for c in near + right) / (1 + sum(c.isalpha() for c in near + right)),
@@ -408,8 +436,9 @@ def candidate_spans(items: DataFrame, model: PiiModel) -> DataFrame:
                 plains.append((plain, at))
                 if len(plain) >= 4:
                     small.update({w for w in map(_bare, set(plain.split())) if w.islower()})
+                    known: dict = {}
                     for kind, a, z in propose(plain):
-                        rows[kind].append((i, a, z, measure(plain, kind, a, z)))
+                        rows[kind].append((i, a, z, measure(plain, kind, a, z, known)))
             chosen: dict[int, list[tuple]] = {}
             for kind in KINDS[:-1]:
                 if rows[kind]:
