@@ -1,10 +1,13 @@
+import time
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from proseloom.functions import codecs
-from proseloom.functions.markup import diff_str, from_html, map_text, parse, preview_str, serialise, shape_of, to_html
+from proseloom.functions.markup import _changes, diff_str, from_html, map_text, parse, preview_str, serialise, shape_of, to_html
 
 
 def test_map_text_leaves_code_and_attributes():
@@ -88,3 +91,42 @@ def test_small_codecs(spark):
         codecs.checksum_matches(F.lit(b"a"), F.upper(F.sha2(F.lit(b"a"), 256))), codecs.from_1252(F.lit(b"\x80\x81a\xe9")),
     ).first()
     assert tuple(row) == (None, None, 33, 100, "3.0GB", "12MB", True, "€�aé")
+
+
+@pytest.mark.parametrize("tag", ["div", "b", "ul", "blockquote", "span", "a", "table"])
+def test_deep_markup_ends_nothing(tag):
+    deep = f"<{tag}>" * 10_000 + "in order — to" + f"</{tag}>" * 10_000 + "<ul><li>x</li></ul>"
+    assert serialise(parse(deep)) == deep.replace("<ul><li>x</li></ul>", "") + "<ul><li>x</li></ul>"
+    assert map_text(deep, str.upper).count("IN ORDER — TO") == 1
+    assert shape_of(deep)[2] == 1 and shape_of(deep)[0] == (10_000 if tag == "table" else 0)
+    assert "in order — to" in preview_str(deep, None)
+    assert ("in order — to" in from_html(deep)) == (tag not in ("ul", "table"))  # text beside items and cells is not converted
+
+
+def test_deep_markdown_ends_nothing():
+    for text in (">" * 5000 + " x", "\n".join("  " * i + "- x" for i in range(3000)), "**" * 4000 + "x" + "**" * 4000, "[" * 3000 + "x" + "]" * 3000 + "(u)"):
+        assert "x" in to_html(text)
+
+
+def lcs(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_diff_is_a_shortest_one_and_bounded():
+    rng = random.Random(3)
+    for n in (0, 1, 5, 30):
+        for _ in range(60):
+            a, b = ([rng.choice("abc") for _ in range(rng.randint(0, n))] for _ in range(2))
+            parts = list(_changes(a, b, 1000))
+            assert [x for _, p, _ in parts for x in p] == a and [y for _, _, q in parts for y in q] == b
+            assert all(p == q for same, p, q in parts if same) and sum(len(p) for same, p, _ in parts if same) == lcs(a, b)
+    words = [rng.choice("abcdefgh") for _ in range(8000)], [rng.choice("abcdefgh") for _ in range(8000)]
+    began = time.time()
+    for sep in (" ", "\n"):
+        out = diff_str(*(sep.join(w) for w in words))[5:-6]
+        assert re.sub(r"<ins>.*?</ins>|</?del>", "", out, flags=re.DOTALL) == sep.join(words[0]) and re.sub(r"<del>.*?</del>|</?ins>", "", out, flags=re.DOTALL) == sep.join(words[1])
+    assert time.time() - began < 5
