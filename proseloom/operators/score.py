@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proseloom.operators.running import before
+from proseloom.operators.running import before, sliced
+from proseloom.session import written
 from proseloom.sources.pack import SCORER_EXTRAS, Pack
 
 SPANS = "array<struct<s: int, e: int, id: string, weight: int>>"
@@ -63,8 +64,8 @@ def islands(spans: Column) -> Column:
 
 def island_rows(rows: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """(keys, island, start, end, n) of intervals in rows: the union of those that overlap, for each key."""
-    seen = before(rows, keys, [start, end], F.col(end), "_high")
-    seen = seen.withColumn("_new", (F.col("_high").isNull() | (F.col(start) >= F.col("_high"))).cast("long"))
+    seen = before(sliced(rows, keys, [start, end]), keys, [start, end], F.col(end), "_high")
+    seen = written(seen.withColumn("_new", (F.col("_high").isNull() | (F.col(start) >= F.col("_high"))).cast("long")), "islands")
     numbered = before(seen, keys, [start, end], F.col("_new"), "_n", "sum")
     numbered = numbered.withColumn("island", F.coalesce("_n", F.lit(0)) + F.col("_new"))
     return numbered.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n"))
@@ -77,20 +78,36 @@ def facts_lost(facts: Column, output: Column) -> Column:
 
 
 def latest(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """One row of each key: that with the greatest ``by``. Pre-aggregates before the shuffle, so a hot key is no hot task."""
+    """One row of each key: that with the greatest ``by``, then with the greatest hash of the rest.
+
+    Pre-aggregates before the shuffle, so a hot key is no hot task. Every column of ``rows`` is read and shuffled: select first.
+    """
     rest = [c for c in rows.columns if c not in keys]
     best = F.max_by(F.struct(*rest), F.struct(F.col(by), F.xxhash64(*[F.col(c).cast("string") for c in rest])))
     return rows.groupBy(*keys).agg(best.alias("_r")).select(*keys, "_r.*")
 
 
 def model_rollup(rows: DataFrame) -> DataFrame:
-    """For each model: runs, rewrites, rejections, facts lost, median time, mean times to load and memory."""
+    """For each model: runs, rewrites, rejections, facts lost, median time, time to load and memory of its first row by run and id.
+
+    ``rows`` has the facts lost as ``lost``.
+    """
+    first = F.struct("run", "id")
     return rows.groupBy("model").agg(
-        (F.max("run") + 1).cast("long").alias("runs"), F.count("*").alias("rewrites"), F.count("rejected").alias("rejected"), F.sum(facts_lost(F.col("facts"), F.col("output"))).alias("facts_lost"),
-        F.median("ms").alias("median_ms"), F.max("load_ms").alias("load_ms"), F.max("vram_mib").alias("vram_mib"),
+        (F.max("run") + 1).cast("long").alias("runs"), F.count("*").alias("rewrites"), F.count("rejected").alias("rejected"), F.sum("lost").alias("facts_lost"),
+        F.median("ms").alias("median_ms"), F.min_by("load_ms", first).alias("load_ms"), F.min_by("vram_mib", first).alias("vram_mib"),
     )
 
 
+def drop_against(rows: DataFrame, base: int) -> DataFrame:
+    """(model, runs, tells, tells_per_run, drop_pct) of rows with counts as ``output``: a run's tells against the baseline's of one pass over
+    the samples; nothing drops where the baseline has none."""
+    out = rows.groupBy("model").agg((F.max("run") + 1).cast("long").alias("runs"), F.sum("output").alias("tells"))
+    per_run = F.col("tells") / F.col("runs")
+    drop = F.round(100 * (1 - per_run / F.lit(float(base))), 6) if base else F.lit(0.0)
+    return out.select("model", "runs", "tells", F.round(per_run, 6).alias("tells_per_run"), drop.alias("drop_pct"))
+
+
 def rejection_reasons(rows: DataFrame) -> DataFrame:
     return rows.where("rejected IS NOT NULL").groupBy("model", "rejected").agg(F.count("*").alias("n"))
 
@@ -112,16 +129,15 @@ def sample_table(rows: DataFrame, value: str, models: list[str]) -> DataFrame:
     return rows.groupBy("id").pivot("model", models).agg(F.avg(value))
 
 
-def corpus_totals(rows: DataFrame) -> DataFrame:
-    """Tells of the samples as they came and after the rules alone, from the rows of the first model by name.
-
-    ``rows`` has counts as ``input`` and ``baseline``; a sample counts once, however often it was run.
-    """
+def samples(rows: DataFrame, *columns: str) -> DataFrame:
+    """(id, ``columns``) of each sample once: from the first run of the first model by name, whose inputs and baselines all models share."""
     first = rows.agg(F.min("model")).first()[0]
-    own = rows.where(F.col("model").eqNullSafe(F.lit(first)))
-    return own.groupBy("id").agg(F.min_by("input", "run").alias("input"), F.min_by("baseline", "run").alias("baseline")).agg(
-        F.count("*").alias("samples"), F.coalesce(F.sum("input"), F.lit(0)).alias("input"), F.coalesce(F.sum("baseline"), F.lit(0)).alias("baseline")
-    )
+    return rows.where(F.col("model").eqNullSafe(F.lit(first))).groupBy("id").agg(F.min_by(F.struct(*columns), "run").alias("_s")).select("id", "_s.*")
+
+
+def corpus_totals(counted: DataFrame) -> DataFrame:
+    """Samples, and their tells as they came and after the rules alone, of (id, input, baseline) with counts."""
+    return counted.agg(F.count("*").alias("samples"), F.coalesce(F.sum("input"), F.lit(0)).alias("input"), F.coalesce(F.sum("baseline"), F.lit(0)).alias("baseline"))
 
 
 def probe_totals(rows: DataFrame) -> DataFrame:

@@ -8,11 +8,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from proseloom.operators.running import before
+from proseloom.operators.running import before, sliced
+from proseloom.session import written
 
 OUT = "session string, job long, seq long, payload string"
 STATE = "job long, seq long"
@@ -65,18 +66,25 @@ def changed_only(events: DataFrame, key: str, order: str, value: str) -> DataFra
 
 
 def in_flight(events: DataFrame, session: str = "session", order: str = "seq") -> DataFrame:
-    """``events`` with the jobs that run after each: starts and ends, never below zero."""
-    w = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """``events`` with the jobs that run after each: starts and ends, never below zero; an end without a start counts for nothing."""
     step = F.when(F.col("kind") == "begin", 1).when(F.col("kind") == "result", -1).otherwise(0)
-    total = events.withColumn("_s", F.sum(step).over(w))
-    lowest = F.least(F.min("_s").over(w), F.lit(0))
-    return total.withColumn("running", (F.col("_s") - lowest).cast("long")).drop("_s")
+    rows = before(sliced(events, [session], [order]), [session], [order], step, "_sum", "sum")
+    rows = written(rows.withColumn("_sum", F.coalesce("_sum", F.lit(0)) + step), "in-flight")
+    rows = before(rows, [session], [order], F.col("_sum"), "_low", "min")
+    # what was lost below zero so far
+    lowest = F.least(F.coalesce("_low", F.lit(0)), F.col("_sum"), F.lit(0))
+    return rows.withColumn("running", (F.col("_sum") - lowest).cast("long")).drop("_sum", "_low", "_slice", "_row")
 
 
-def idle_sessions(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
-    """(key, session, started, ended, n): runs of events with no pause of ``gap_seconds`` or more."""
-    rows = before(events.select(key, ts, F.unix_micros(F.col(ts).cast("timestamp")).alias("_at")), [key], ["_at"], F.col("_at"), "_last")
-    rows = rows.withColumn("_new", F.coalesce((F.col("_at") - F.col("_last") >= gap_seconds * 1_000_000).cast("long"), F.lit(1)))
+def idle_sessions(events: DataFrame, key: str, ts: str, gap_seconds: int, busy: str | None = None) -> DataFrame:
+    """(key, session, started, ended, n): runs of events with no pause of ``gap_seconds`` or more.
+
+    ``busy`` names a column of jobs that run after an event; while one does, no pause ends a session.
+    """
+    rows = events.select(key, ts, F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"), (F.col(busy) if busy else F.lit(0)).cast("long").alias("_busy"))
+    rows = before(sliced(rows, [key], ["_at"]), [key], ["_at"], F.struct("_at", "_row", "_busy"), "_last")
+    long = (F.col("_at") - F.col("_last._at") >= gap_seconds * 1_000_000) & (F.col("_last._busy") <= 0)
+    rows = written(rows.withColumn("_new", F.coalesce(long.cast("long"), F.lit(1))).drop("_last"), "idle")
     rows = before(rows, [key], ["_at"], F.col("_new"), "_n", "sum").withColumn("session", F.coalesce("_n", F.lit(0)) + F.col("_new"))
     return rows.groupBy(key, "session").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("n"))
 
