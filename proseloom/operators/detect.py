@@ -13,9 +13,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proseloom.functions.patterns import quoted, starts, trie
+from proseloom.functions.patterns import required, starts, trie
 from proseloom.functions.text import fold, fold_str, trimmed, word_count
-from proseloom.sources.pack import DETECTORS, Detector, Pack, Tier
+from proseloom.sources.pack import Detector, Pack, Tier, java_pattern
 
 FINDING = "struct<seq: int, id: string, matched: string, category: string, weight: int, tier: int>"
 
@@ -81,32 +81,13 @@ def phrase_findings(text: Column, pack: Pack, seq: int) -> Column:
     return F.when(some, F.flatten(F.transform(F.array(fold(text)), held))).otherwise(_none())
 
 
-#: Literals of which one stands in every match of a detector, case aside. They only save time.
-HINTS = {
-    "negative-parallelism": ["not just", "not only", "not merely"], "its-not-x-its-y": ["s not "], "negative-listing": ["not a"], "copula-avoidance": ["serves as", "stands as", "boasts"], "oxford-triple": [", and "],
-    "ing-tail": ["highlighting", "underscoring", "emphasizing", "showcasing", "reflecting", "symbolizing", "ensuring", "fostering", "demonstrating", "illustrating", "solidifying", "cementing", "signaling"],
-    "vague-attribution": ["experts ", "studies show", "industry reports", "observers have", "some critics", "it is believed", "it is widely"], "hedging-stack": ["possibly", "potentially", "perhaps"],
-    "chatbot-artifact": ["i hope this", "great question", "excellent point", "let me know", "would you like", "feel free", "hesitate to", "happy to help", "absolutely right", "anything else"],
-    "cutoff-disclaimer": ["as of my", "knowledge cutoff", "while specific", "based on available", "maintains a low", "keeps personal"], "generic-conclusion": ["future looks", "exciting times", "only time", "possibilities are", "poised for", "watch this", "journey toward", "step in the"],
-    "significance-inflation": ["marking a", "a testament to", "serves as a", "underscor", "reflects broader", "setting the", "key turning", "evolving landscape", "indelible mark", "deeply rooted"],
-    "throat-clearing": ["s the thing", "s what you", "s dive in", "s explore", "s break ", "without further", "let that", "make no", "uncomfortable truth"], "authority-trope": ["at its core", "real question", "what really", "the heart of", "deeper issue"],
-    "vague-declarative": ["the implications", "the stakes", "the consequences", "the reasons"], "false-agency": ["the data", "the numbers", "the market", "the decision", "the culture", "the conversation"], "inline-header-list": ["**:"],
-}
-
-
-def java_pattern(d: Detector) -> str:
-    return "(?Ud" + d.flags + ")" + d.pattern
-
-
 def _hinted(text: Column, d: Detector) -> Column | None:
-    """Whether a detector of the default pack can match at all."""
-    if d.id not in HINTS or (d.id, d.pattern) not in _KNOWN:
+    """Whether a detector can match at all, by literals of which one stands in every match; it only saves time."""
+    literals = required(d.pattern)
+    if not literals or "i" not in d.flags:
         return None
     # letters with a twin that only full case folding knows are left open
-    return text.rlike(re.sub(r"\[([SK])([sk])\]", r"[\1\2ſK]", trie(HINTS[d.id], True)))
-
-
-_KNOWN = {(d[0], d[1]) for d in DETECTORS}
+    return text.rlike(re.sub(r"\[([SK])([sk])\]", r"[\1\2ſK]", trie(literals, True)))
 
 
 def matches(text: Column, d: Detector) -> Column:
@@ -138,11 +119,16 @@ def structural(f: Column) -> Column:
 
 
 def deduplicated(found: Column) -> Column:
-    """The first finding of each id and match, ASCII case aside."""
-    keys = F.transform(found, lambda f: F.concat(f["id"], F.lit("\x00"), F.translate(f["matched"], "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
-    at = F.transform(keys, lambda k, i: F.array_position(keys, k) == i + 1)
-    marked = F.zip_with(found, at, lambda f, k: F.struct(f.alias("f"), k.alias("k")))
-    return F.transform(F.filter(marked, lambda x: x["k"]), lambda x: x["f"])
+    """The first finding of each id and match, ASCII case aside. Sorts by key, so its time is that of a sort."""
+    key = lambda f: F.concat(f["id"], F.lit("\x00"), F.translate(f["matched"], "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    keyed = F.array_sort(F.transform(found, lambda f, i: F.struct(key(f).alias("k"), i.alias("i"), f.alias("f"))))
+
+    def firsts(rows: Column) -> Column:
+        return F.filter(rows, lambda x, i: (i == 0) | (F.get(rows, i - 1)["k"] != x["k"]))
+
+    # bound as the one element of an array, so that it is sorted once
+    kept = F.get(F.transform(F.array(keyed), firsts), F.lit(0))
+    return F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["i"].alias("i"), x["f"].alias("f")))), lambda x: x["f"])
 
 
 def ordered(found: Column) -> Column:

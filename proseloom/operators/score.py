@@ -20,6 +20,8 @@ def scorer_rules(pack: Pack) -> list[tuple[str, str, int, int]]:
     phrases without a replacement or with an empty one, and two shapes more."""
     rules = []
     for d in pack.detectors:
+        if not _python_takes(d.pattern):
+            continue  # written for Java only
         pattern = "[\u2600-\u27BF\u2B00-\u2BFF]" if d.id == "emoji" else d.pattern
         rules.append((d.id, pattern, re.MULTILINE | (re.IGNORECASE if "i" in d.given else 0), d.weight))
     for t in pack.tiers[:1]:
@@ -28,6 +30,14 @@ def scorer_rules(pack: Pack) -> list[tuple[str, str, int, int]]:
     return rules + [(i, p, re.IGNORECASE, w) for i, p, w in SCORER_EXTRAS]
 
 
+def _python_takes(pattern: str) -> bool:
+    try:
+        re.compile(pattern)
+    except re.error:
+        return False
+    return True
+
+
 def tell_spans(pack: Pack):
     """A Column function: every flagged span of a text that is not empty, with its rule and weight; null gives none."""
     rules = scorer_rules(pack)

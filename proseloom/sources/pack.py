@@ -6,6 +6,8 @@ import json
 import re
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,19 +96,37 @@ def translate(pattern: str) -> str | None:
     return None if re.search(r"\\u[dD][89a-fA-F][0-9a-fA-F]{2}", pattern) else pattern
 
 
+def java_pattern(d: Detector) -> str:
+    """As Java runs it: classes and case by Unicode, line feeds alone end lines."""
+    return "(?Ud" + d.flags + ")" + d.pattern
+
+
+def _compiles(d: Detector) -> bool:
+    """Whether Java takes a pattern, since that is where it runs; without a session, whether it looks as if it would."""
+    context = SparkContext._active_spark_context
+    if context is None:
+        try:
+            re.compile(re.sub(r"\\[pP]\{\w+\}", "x", d.pattern))
+        except re.error:
+            return False
+        return "(?P" not in d.pattern
+    try:
+        context._jvm.java.util.regex.Pattern.compile(java_pattern(d))
+    except Py4JJavaError:
+        return False
+    return True
+
+
 def detector(id: str, pattern: str, flags: str | None, category: str, weight: int) -> Detector | None:
     if id == "emoji":
         return Detector(id, EMOJI, "", category, weight)
     usable = translate(pattern)
     if usable is None:
         return None
-    try:
-        re.compile(usable)
-    except re.error:
-        return None
     given = flags or ""
     flags = "gi" if flags is None else flags
-    return Detector(id, usable, "".join(f for f in "im" if f in flags), category, weight, given)
+    made = Detector(id, usable, "".join(f for f in "im" if f in flags), category, weight, given)
+    return made if _compiles(made) else None
 
 
 def _build(phrases: list[Phrase], tiers: list[Tier], detectors: list[tuple]) -> Pack:
@@ -134,8 +154,12 @@ def load_pack(text: str) -> Pack:
     return _build(phrases, tiers, detectors)
 
 
-def pack_or_default(text: str | None, default: Pack) -> tuple[Pack, str | None]:
-    """The pack of ``text`` if it is given and valid, else the default one and the reason."""
+def pack_or_default(text: str | None, default: Pack | None = None) -> tuple[Pack, str | None]:
+    """The pack of ``text`` if it is given and valid, else the default one (that of the package, if none is named) and the reason."""
+    if default is None:
+        from proseloom.sources.default_pack import default_pack
+
+        default = default_pack()
     if not text:
         return default, None
     try:

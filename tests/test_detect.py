@@ -66,8 +66,10 @@ def test_islands_and_tells(spark):
 def test_rollups(spark):
     rows = [("m", 0, "i", 10, "abc", None, ["a", "z", None], 5, 1), ("m", 1, "i", None, None, "why", ["a"], 6, None), ("m", 1, "j", 30, "q", "why", None, 6, 3)]
     df = spark.createDataFrame(rows, "model string, run int, id string, ms long, output string, rejected string, facts array<string>, load_ms long, vram_mib long")
+    df = df.withColumn("lost", score.facts_lost(F.col("facts"), F.col("output")))
     r = score.model_rollup(df).collect()[0]
-    assert (r.runs, r.rewrites, r.rejected, r.facts_lost, r.median_ms, r.load_ms, r.vram_mib) == (2, 3, 2, 2, 20.0, 6, 3)
+    # time to load and memory are those of the first row
+    assert (r.runs, r.rewrites, r.rejected, r.facts_lost, r.median_ms, r.load_ms, r.vram_mib) == (2, 3, 2, 2, 20.0, 5, 1)
     assert score.rejection_reasons(df).collect()[0].n == 2
     assert score.model_rollup(df.limit(0)).count() == 0
     twice = spark.createDataFrame([("k", 1, "old"), ("k", 2, "new"), ("k", 2, "new")], "k string, t int, v string")
@@ -76,7 +78,11 @@ def test_rollups(spark):
 
 def test_totals(spark):
     rows = spark.createDataFrame([("b", 0, "i", 9, 9), ("a", 1, "i", 3, 1), ("a", 0, "i", 3, 1), ("a", 0, "j", 2, 2)], "model string, run int, id string, input long, baseline long")
-    assert tuple(score.corpus_totals(rows).first()) == (2, 5, 3) and tuple(score.corpus_totals(rows.limit(0)).first()) == (0, 0, 0)
+    own = score.samples(rows, "input", "baseline")
+    assert tuple(score.corpus_totals(own).first()) == (2, 5, 3) and tuple(score.corpus_totals(score.samples(rows.limit(0), "input", "baseline")).first()) == (0, 0, 0)
+    counted = spark.createDataFrame([("m", 0, 3), ("m", 1, 1), ("n", 0, 0)], "model string, run int, output long")
+    assert sorted(map(tuple, score.drop_against(counted, 8).collect())) == [("m", 2, 4, 2.0, 75.0), ("n", 1, 0, 0.0, 100.0)]
+    assert {r.drop_pct for r in score.drop_against(counted, 0).collect()} == {0.0}
     probe = spark.createDataFrame([("m", None, 5, 2), ("m", "why", 4, 1), ("m", None, 3, None)], "model string, rejected string, before long, after long")
     assert tuple(score.probe_totals(probe).first()) == ("m", 12, 9, 1)
     wide = score.sample_table(rows, "input", ["a", "b"]).orderBy("id").collect()
