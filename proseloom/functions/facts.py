@@ -63,11 +63,20 @@ def fact_spans(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else [{"kind": k, "start": a, "end": z, "value": t[a:z]} for a, z, k in claim(t)])
 
 
+def _bound(answer: Column, other: Column, then) -> Column:
+    """``then`` of both, bound as the one element of an array: they are computed once, and may come from Python, which a lambda may not hold."""
+    return F.get(F.transform(F.array(F.struct(answer.alias("a"), other.alias("b"))), lambda x: then(x["a"], x["b"])), F.lit(0))
+
+
 def violation(answer: Column, n_values: Column, may_drop: bool = False) -> Column:
     """What is wrong with the placeholders of an answer: struct(kind, index, token), or null.
 
     An unknown one comes first (in text order), then the lowest repeated one, then the lowest missing one.
     """
+    return _bound(answer, n_values, lambda a, n: _violation(a, n, may_drop))
+
+
+def _violation(answer: Column, n_values: Column, may_drop: bool) -> Column:
     digits = F.regexp_extract_all(answer, F.lit(r"\[\[F(\d+)\]\]"), F.lit(1))
     index = F.transform(digits, lambda d: F.when(F.length(F.ltrim(d, F.lit("0"))) <= 9, F.coalesce(F.nullif(F.ltrim(d, F.lit("0")), F.lit("")), F.lit("0")).cast("int")))
     unknown = F.filter(digits, lambda d: (F.length(F.ltrim(d, F.lit("0"))) > 9) | (F.coalesce(F.nullif(F.ltrim(d, F.lit("0")), F.lit("")), F.lit("0")).cast("long") >= n_values))
@@ -96,5 +105,10 @@ def put_back(answer: Column, values: Column) -> Column:
 
 def restore(answer: Column, values: Column, may_drop: bool = False) -> Column:
     """struct(text, violation): the restored text, or what is wrong."""
-    wrong = violation(answer, F.size(values), may_drop)
-    return F.struct(F.when(wrong.isNull(), put_back(answer, values)).alias("text"), wrong.alias("violation"))
+
+
+    def both(a: Column, v: Column) -> Column:
+        wrong = _violation(a, F.size(v), may_drop)
+        return F.struct(F.when(wrong.isNull(), put_back(a, v)).alias("text"), wrong.alias("violation"))
+
+    return _bound(answer, values, both)

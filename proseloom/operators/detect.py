@@ -54,7 +54,9 @@ KEYED = f"struct<needle: string, f: {FINDING}>"
 def tier_findings(hits: Column, words: Column, tier: Tier, seq: int) -> Column:
     """Findings of a tier whose gate is passed; ``hits`` are its occurrences, ``words`` the words of the text."""
     entries = _literals([_finding(seq + i, f"vocab:{w}", w, "vocabulary", tier.weight, tier.number) for i, w in enumerate(tier.words)], KEYED)
-    present = F.transform(F.filter(entries, lambda e: F.array_contains(hits, e["needle"])), lambda e: e["f"])
+    # bound as the one element of an array: computed once, and it may come from Python, which a lambda may not hold
+    held = lambda h: F.transform(F.filter(entries, lambda e: F.array_contains(h, e["needle"])), lambda e: e["f"])
+    present = F.get(F.transform(F.array(hits), held), F.lit(0))
     if tier.number == 1:
         gate = F.size(hits) > 0
     elif tier.number == 2:

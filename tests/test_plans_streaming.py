@@ -55,9 +55,71 @@ def test_ask_and_repairs(spark):
     req = spark.createDataFrame([(1, 0, "edit", 0, "s", "good"), (2, 0, "edit", 0, "s", "bad")], "doc_id long, chunk int, stage string, draw int, system string, text string")
     got = {r.doc_id: (r.answer, r.error) for r in rewrite.ask(req, model, parallel=2).collect()}
     assert got == {1: ("GOOD", None), 2: (None, "down")}
-    judged = spark.createDataFrame([(1, 0, "p", "It stands as one."), (2, 0, "p", "It stands as one.")], "doc_id long, chunk int, part string, final string")
-    fixes = spark.createDataFrame([(1, 0, "repair", 0, "It is one thing.", None), (2, 0, "repair", 0, "It stands as two.", None)], ANSWERS)
-    assert {r.doc_id: r.final for r in rewrite.apply_repairs(judged, fixes, PACK).collect()} == {1: "It is one thing.", 2: "It stands as one."}
+
+
+def test_repairs_come_before_the_gates(spark):
+    docs = [(1, "It stands as one for £5."), (2, "It stands as one."), (3, "It stands as one."), (4, "It stands as one.")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = [(1, 0, "edit", 0, "Now it stands as one thing for [[F00]].", None), (1, 0, "repair", 0, " It is one thing — for [[F00]]. ", None)]
+    rows += [(2, 0, "edit", 0, "Now it stands as one thing.", None), (2, 0, "repair", 0, "It stands as two.", None)]
+    rows += [(3, 0, "edit", 0, "Now it stands as one thing.", None), (3, 0, "repair", 0, "x", None)]
+    rows += [(4, 0, "edit", 0, "Now it stands as one thing.", None), (4, 0, "edit", 1, "It stands as that.", None), (4, 0, "repair", 1, "It is one thing.", None)]
+    out = {r.doc_id: r for r in rewrite.rewrite(d, spark.createDataFrame(rows, ANSWERS), PACK).collect()}
+    # the repaired text is cleaned and judged as any other
+    assert out[1].text == "It is one thing - for £5." and out[1].rejected is None
+    # no gain and a text that fails the gates: the answer stands, and its style is refused, for which no second draw is made
+    assert {out[i].rejected.kind for i in (2, 3, 4)} == {"style"}
+
+
+def test_prompts_hold_no_protected_value(spark):
+    text = "The offer is not just £4,500 but a bargain, so email bob@example.com by 2024-05-01.\n\n1. one\n2. two"
+    parts = spark.createDataFrame([(1, 0, text)], "doc_id long, chunk int, part string")
+    got = rewrite.requests(parts, PACK).orderBy("draw").collect()
+    assert [r.draw for r in got] == [0, 1] and "not just [[F00]] but" in got[0].system and "2 bullet points" in got[0].system
+    for mode in ("edit", "simplify", "tldr"):
+        for r in rewrite.requests(parts, PACK, mode, draws=1).collect():
+            assert "4,500" not in r.system + r.text and "bob@" not in r.system + r.text and "[[F01]]" in r.text
+    answers = spark.createDataFrame([(1, 0, "edit", 0, "It is not just [[F00]] but a bargain. Email [[F01]] by [[F02]] in time, please.\n\n1. one\n2. two", None)], ANSWERS)
+    (r,) = rewrite.repair_requests(parts, answers, PACK).collect()
+    assert (r.stage, r.draw) == ("repair", 0) and "not just [[F00]] but" in r.system and "4,500" not in r.system + r.text
+
+
+def test_rich_documents(spark):
+    html = "<p>It stands as <b>one</b> in order to go.</p><ul><li>a first</li><li>a second</li></ul>"
+    docs = spark.createDataFrame([(1, html, "x"), (2, html, "x"), (3, None, "- a first thing\n- a second thing")], "doc_id long, html string, text string")
+    rows = [(1, 0, "edit", 0, "It is **one** in order to go.\n\n- a first\n- a second", None), (2, 0, "edit", 0, "It is **one** to go, a first and a second.", None), (3, 0, "edit", 0, "a first thing, a second thing", None)]
+    out = {r.doc_id: r for r in rewrite.rewrite(docs, spark.createDataFrame(rows, ANSWERS), PACK).collect()}
+    assert out[1].rejected is None and "<strong>one</strong> to go" in out[1].html and out[1].html.count("<li>") == 2 and out[1].text.startswith("It is **one** to go.")
+    assert out[2].rejected.message == out[3].rejected.message == "the list was lost" and out[2].html is None
+
+
+def test_structure_of_the_whole(spark):
+    # each group passes alone, since neither loses all of what it has; the whole has lost its only table
+    table = "| a | b |\n| --- | --- |\n| c | d |"
+    docs = spark.createDataFrame([(1, f"Some words stand here.\n\n{table}")], "doc_id long, text string")
+    rows = [(1, 0, "edit", 0, "Other words stand here.", None), (1, 1, "edit", 0, "a table of c and d with some more words", None)]
+    out = rewrite.rewrite(docs, spark.createDataFrame(rows, ANSWERS), PACK, target=30, ceiling=90, total=900).first()
+    assert out.n_refused == 1 and out.text == f"Other words stand here.\n\n{table}"
+    html = "<p>Some words stand here in a row.</p><p>More words in order to see.</p>"
+    docs = spark.createDataFrame([(1, html, "x")], "doc_id long, html string, text string")
+    rows = [(1, 0, "edit", 0, "Some words are here in a row.", None), (1, 1, "edit", 0, "More words — to see.", None)]
+    out = rewrite.rewrite(docs, spark.createDataFrame(rows, ANSWERS), PACK, target=40, ceiling=90, total=900).first()
+    assert out.rejected is None and out.html == "<p>Some words are here in a row.</p>\n<p>More words - to see.</p>\n"
+
+
+def test_summaries_of_summaries(spark):
+    para = "A paragraph of some forty letters is here."
+    docs = spark.createDataFrame([(1, f"{para}\n\n{para}\n\n{para}"), (2, f"{para}\n\n{para}"), (3, para), (4, f"{para}\n\n{para}")], "doc_id long, text string")
+    rows = [(1, c, "edit", 0, "Short words.", None, 0) for c in range(3)] + [(1, 0, "edit", 0, "Shorter.", None, 1)]
+    rows += [(2, 0, "edit", 0, para + " And more.", None, 0), (2, 1, "edit", 0, "A paragraph of some forty letters here.", None, 0), (3, 0, "edit", 0, "Short.", None, 0)]
+    rows += [(4, 0, "edit", 0, "Two words.", None, 0), (4, 1, "edit", 0, None, "no server", 0)]
+    answers = spark.createDataFrame(rows, ANSWERS + ", round int")
+    out = {r.doc_id: r for r in rewrite.rewrite(docs, answers, PACK, "tldr", target=44, ceiling=90, total=900).collect()}
+    assert out[1].text == "Shorter." and out[3].text == "Short." and out[4].rejected == ("model", "no server")
+    # it has barely shrunk, and one group was refused
+    assert out[2].text is None and out[2].rejected.message.startswith("the summary is no shorter")
+    once = rewrite.rewrite(docs.where("doc_id = 1"), answers, PACK, "tldr", target=44, ceiling=90, total=900, most=1).first()
+    assert once.rejected.kind == "too_long"
 
 
 def test_clean_documents(spark):
