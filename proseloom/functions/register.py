@@ -11,6 +11,7 @@ from proseloom.functions.clean import Cleaner
 from proseloom.functions.facts import protect
 from proseloom.functions.markup import html_of, markdown_of, preview, shape, word_diff
 from proseloom.functions.text import LOWER, UPPER, WORD
+from proseloom.operators.rows import Detector
 from proseloom.sources.pack import Pack
 
 
@@ -19,8 +20,8 @@ def _sql(value: str) -> str:
 
 
 def register(spark: SparkSession, pack: Pack) -> list[str]:
-    """Registers fold_text, count_words, clean_text, count_fixes, protect_text, html_shape, to_markdown, to_markup, safe_preview and
-    word_diff for SQL, for this session; returns their names."""
+    """Registers fold_text, count_words, clean_text, count_fixes, gate_score, protect_text, html_shape, to_markdown, to_markup, safe_preview
+    and word_diff for SQL, and the table function detect, for this session; returns the names of the scalar ones."""
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION fold_text(t STRING) RETURNS STRING RETURN translate(t, {_sql(UPPER + '‘’')}, {_sql(LOWER + chr(39) * 2)})")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION count_words(t STRING) RETURNS BIGINT RETURN regexp_count(t, {_sql(WORD)})")
     cleaner = Cleaner(pack.phrases)
@@ -33,7 +34,19 @@ def register(spark: SparkSession, pack: Pack) -> list[str]:
 
         return run
 
+    finder = Detector(pack)
+
+    @F.pandas_udf(T.LongType())
+    def gate_score(texts: pd.Series) -> pd.Series:
+        return texts.map(finder.gate_score)
+
+    class Detect:
+        def eval(self, text: str):
+            yield from finder.find(text)
+
+    spark.udtf.register("detect", F.udtf(Detect, returnType="id: string, matched: string, category: string, weight: int, tier: int"))
     udfs = {
+        "gate_score": gate_score,
         "clean_text": cleaned(0, T.StringType()), "count_fixes": cleaned(1, T.IntegerType()), "protect_text": protect, "html_shape": shape, "to_markdown": markdown_of, "to_markup": html_of, "safe_preview": preview, "word_diff": word_diff,
     }
     for name, udf in udfs.items():

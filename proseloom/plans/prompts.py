@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from proseloom.functions.text import spaced_words
 from proseloom.operators.detect import checklist, repair_targets
 
+#: What every editing prompt asks for beside its list.
+STANDING = "- Keep paragraphs, order and meaning. Keep technical terms and quotations as they are.\n- Write no dashes, no greeting, no closing remark, nothing about the task.\n- Don't trade one stock phrase for another.\n"
 KEEP_ALL = "- Tokens such as [[F00]] are protected values. Copy every one through exactly once, unchanged.\n"
 KEEP_SOME = "- Tokens such as [[F00]] are protected values. Copy those you keep exactly once, unchanged, and leave out the rest.\n"
 
@@ -43,14 +45,19 @@ def issue_list(findings: Column, limit: int = 24) -> Column:
     return F.when(F.size(listed) == 0, "No listed phrase is left in this text. Return it as written.\n").otherwise(F.concat(F.lit("Each of these must go:\n"), _quoted(listed)))
 
 
-def editing_prompt(findings: Column, shape: Column, numbered: Column, protected: Column) -> Column:
-    return F.concat(F.lit("Rewrite the text in plain professional words. Keep every fact.\n"), issue_list(findings), shape_rule(shape, numbered), placeholder_rule(protected, False), F.lit("Return only the text."))
+def editing_prompt(findings: Column, shape: Column, numbered: Column, protected: Column, rules: str = STANDING) -> Column:
+    return F.concat(F.lit("Rewrite the text in plain professional words. Keep every fact.\n"), issue_list(findings), F.lit(rules), shape_rule(shape, numbered), placeholder_rule(protected, False), F.lit("Return only the text."))
 
 
 def repair_prompt(findings: Column, shape: Column, numbered: Column, protected: Column) -> Column:
     return F.concat(F.lit("The text still holds these:\n"), _quoted(repair_targets(findings)), shape_rule(shape, numbered), placeholder_rule(protected, False), F.lit("Return only the corrected text."))
 
 
+def condense_prompt(mode: str, text: Column, shape: Column, numbered: Column, protected: Column) -> Column:
+    """The prompt of a mode that shortens: "simplify" or "tldr"."""
+    return summary_prompt(text, protected) if mode == "tldr" else simplify_prompt(shape, numbered, protected)
+
+
 def simplify_prompt(shape: Column, numbered: Column, protected: Column) -> Column:
     return F.concat(F.lit("Rewrite the text in plain language with short sentences. Keep every point.\n"), shape_rule(shape, numbered), placeholder_rule(protected, False), F.lit("Return only the text."))
 

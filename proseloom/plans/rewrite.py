@@ -145,10 +145,8 @@ def requests(parts: DataFrame, pack: Pack, mode: str = "edit", draws: int = 2) -
     if mode == "edit":
         held = with_findings(held, pack, "_shown", "_found")
         system = prompts.editing_prompt(F.col("_found"), F.col("_shape"), numbered, n)
-    elif mode == "simplify":
-        system = prompts.simplify_prompt(F.col("_shape"), numbered, n)
     else:
-        system = prompts.summary_prompt(F.col("part"), n)
+        system = prompts.condense_prompt(mode, F.col("part"), F.col("_shape"), numbered, n)
     return held.select("doc_id", "chunk", F.lit("edit").alias("stage"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"), system.alias("system"), F.col("_shown").alias("text"))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proseloom import goldens
 from proseloom.functions import codecs, markup
 from proseloom.functions.clean import clean_texts
 from proseloom.functions.facts import fact_spans, protect, restore, violation
@@ -361,7 +362,7 @@ def current_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMES = [
     doc_word_count, vocab_hits_by_tier, phrase_hits, regex_findings, findings, finding_scores, tier_gates, finding_checklists, cleaned, cleaned_documents, dash_counts, fact_kinds, protected_docs, protect_roundtrip, restored_texts, restore_violations,
     chunk_sizes, too_long_docs, answer_gates, kept_paragraphs, answer_decisions, prompt_targets, latest_bench_rows, latest_docs, model_rollup, rejection_reasons, sample_means, model_tells, surviving_tells, corpus_totals, probe_totals, busy_islands,
-    page_shapes, shape_losses, previews, word_diffs, payload_sizes, latest_job, idle_sessions, changed_events, current_results,
+    page_shapes, shape_losses, previews, word_diffs, payload_sizes, latest_job, idle_sessions, changed_events, current_results, goldens.goldens, goldens.rewrite_ends,
 ]
 
 
@@ -463,7 +464,7 @@ def _tells_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return goldens.SQL | {
         "doc_word_count": f"WITH {_DOCS} SELECT doc_key, CAST(len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}''’\\-–]+')) AS BIGINT) AS words, {_BLANK.format('text')} AS blank FROM docs",
         "vocab_hits_by_tier": f"WITH {_VOCAB_LIST}, {_DERIVED}, {_FOLDED}, {_VOCAB} SELECT tier, {FOLD.format('word')} AS word, count(DISTINCT doc_key) AS docs, CAST(sum(n) AS BIGINT) AS hits FROM occ WHERE n > 0 GROUP BY ALL",
         "phrase_hits": f"WITH {_DOCS}, p AS (SELECT DISTINCT match_text FROM rules_phrase) SELECT match_text, count(*) AS docs FROM (SELECT {FOLD.format('text')} AS f FROM docs), p WHERE contains(f, {FOLD.format('match_text')}) GROUP BY 1",

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,7 +113,7 @@ def _compiles(d: Detector) -> bool:
         return "(?P" not in d.pattern
     try:
         context._jvm.java.util.regex.Pattern.compile(java_pattern(d))
-    except Py4JJavaError:
+    except (Py4JJavaError, PySparkException):
         return False
     return True
 

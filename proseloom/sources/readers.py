@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tomllib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +40,33 @@ def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), trimmed(F.col("value")).alias("text"))
 
 
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    """(id, note, text, facts) of any file: one that ends in .json is a corpus, any other is one sample, its text trimmed, its name the id."""
+    if path.lower().endswith(".json"):
+        return read_corpus(spark, path)
+    texts = read_whole_texts(spark, path)
+    return texts.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("id"), F.lit(None).cast("string").alias("note"), "text", F.array().cast("array<string>").alias("facts"))
+
+
+def write_documents(docs: DataFrame, path: str) -> None:
+    """Documents as Parquet: kind, the text always, the markup and its clipboard payload where a document is rich."""
+    from proseloom.functions.codecs import build_payload
+
+    rest = [c for c in docs.columns if c not in ("kind", "html", "text", "payload")]
+    rich = F.col("html").isNotNull()
+    docs.select(*rest, F.when(rich, "rich").otherwise("plain").alias("kind"), F.coalesce("text", F.lit("")).alias("text"), "html", F.when(rich, build_payload(F.col("html"))).alias("payload")).write.parquet(path)
+
+
+def load_settings(path: str, defaults: str) -> tuple[dict, str | None]:
+    """The settings of a file over the defaults; a file that is not there is written with the defaults."""
+    if not os.path.exists(path):
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(defaults)
+        return tomllib.loads(defaults), None
+    with open(path, encoding="utf-8") as f:
+        return overlay(defaults, f.read())
+
+
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """(path, fragment) of files with clipboard HTML; null where there is no markup in one."""
     from proseloom.functions.codecs import parse_payload

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from proseloom.operators import detect, score
@@ -93,8 +95,52 @@ def test_sql_functions(spark):
     from proseloom.functions.register import register, register_spans
 
     names = register(spark, PACK)
-    assert len(names) == 10
+    assert len(names) == 11
     row = spark.sql("SELECT fold_text('ÀB’s') AS f, count_words('a b-c') AS n, clean_text('In order to go') AS c, count_fixes('a – b') AS x, protect_text('£5').text AS p, html_shape('<li>a</li>').list_items AS li").first()
     assert tuple(row) == ("Àb's", 2, "To go", 1, "[[F00]]", 1)
     register_spans(spark)
     assert [tuple(r) for r in spark.sql("SELECT kind, value FROM fact_rows('Pay £5 by 2024-01-30')").collect()] == [("money", "£5"), ("iso_date", "2024-01-30")]
+    assert spark.sql("SELECT gate_score('The stakes are high.') AS g, gate_score(NULL) AS n").first() == (4, 0)
+    rows = spark.sql("SELECT t.n, d.* FROM VALUES (1, 'The stakes are high.'), (2, 'Nothing.') AS t(n, x), LATERAL detect(t.x) d").collect()
+    assert [(r.n, r.id, r.matched, r.weight) for r in rows] == [(1, "vague-declarative", "The stakes are high", 4)]
+
+
+def test_columns_against_the_row_form(spark):
+    from proseloom.operators.rows import Detector
+    from proseloom.sources.default_pack import TIER1, TIER2, TIER3, default_pack
+
+    rng = random.Random(4)
+    parts = [*TIER1[::9], *TIER2[::7], *TIER3, "in order to", "In today’s fast-paced", "deep dives", "It's not a bug, it's a habit.", "—", "a -- b", "“", "☀", "red, été, and épic", "The stakes are high", "THE STAKES ARE HIGH", "\n- **Name**: v", "not just a but b", "word", "word", "word", "x_y", ",", "."]
+    texts = [" ".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(150)] + ["", None]
+    got = detect.with_findings(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, text string"), default_pack()).collect()
+    own = Detector(default_pack())
+    for r in got:
+        assert [(f.id, f.matched, f.category, f.weight, f.tier) for f in r.findings] == own.find(r.text), r.text
+
+
+def test_patterns_are_those_of_java(spark):
+    from proseloom.sources.pack import detector
+
+    assert detector("letters", r"\p{L}+", None, "c", 1) is not None
+    for bad in ("(", "(?P<a>b)(?P=a)", r"\ud83d", "[z-a]"):
+        assert detector("x", bad, None, "c", 1) is None
+
+
+def test_hints_stand_in_every_match():
+    from proseloom.functions.patterns import required
+    from proseloom.sources.pack import DETECTORS
+
+    assert required(r"\bthe (?:data|numbers) tells? us|end\b") == ["end", "the data tell", "the numbers tell"]
+    for bad in ("a", r"\w+", "(", "(?:abc)?", "x*|abcd"):
+        assert required(bad) is None
+    assert sum(required(d[1]) is not None for d in DETECTORS) == 17
+
+
+def test_default_pack():
+    from proseloom.sources.default_pack import default_pack
+    from proseloom.sources.pack import pack_or_default
+
+    pack = default_pack()
+    assert [len(t.words) for t in pack.tiers] == [69, 53, 9] and len(pack.phrases) == 38 and pack.phrase_count == 16 and len(pack.detectors) == 20
+    for bad in ("", "{", "{}", '{"phrases": "nonsense"}', None):
+        assert pack_or_default(bad)[0] is pack

@@ -1,6 +1,8 @@
+import os
+
 import pytest
 
-from proseloom.plans import prompts, rewrite
+from proseloom.plans import prompts, providers, rewrite
 from proseloom.sources import readers
 from proseloom.sources.pack import DETECTORS, Phrase, Tier, _build
 from proseloom.streaming import jobs
@@ -147,14 +149,17 @@ KIND = "session string, seq long, kind string, job long, payload string"
 def test_supersession_in_batch_and_stream(spark, tmp_path):
     df = spark.createDataFrame(EVENTS, KIND)
     assert sorted(r.payload for r in jobs.current_results(df).collect()) == ["fine", "ok"]
+    # files come in the order of their times
     for i, part in enumerate((EVENTS[:3], EVENTS[2:])):
-        spark.createDataFrame(part, KIND).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        spark.createDataFrame(part, KIND).coalesce(1).write.mode("append").parquet(str(tmp_path / f"part{i}"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (own,) = (tmp_path / f"part{i}").glob("*.parquet")
+        target = own.rename(tmp_path / "in" / f"{i}.parquet")
+        os.utime(target, (1_700_000_000 + 100 * i,) * 2)
     stream = jobs.current_results_stream(spark.readStream.schema(KIND).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
     q = stream.writeStream.format("memory").queryName("current").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    got = sorted(r.payload for r in spark.table("current").collect())
-    # files may come in either order; a result that comes before its start is late, as one that comes twice is
-    assert got in (["fine", "ok"], ["fine"])
+    assert sorted(r.payload for r in spark.table("current").collect()) == ["fine", "ok"]
 
 
 def test_event_rules(spark):
@@ -189,6 +194,30 @@ def test_readers(spark, tmp_path):
     assert kinds == ["rich", "plain", "plain", None, None]
 
 
+def test_samples_and_documents(spark, tmp_path):
+    (tmp_path / "c.json").write_text('[{"id": "a", "text": "t", "facts": ["x"]}]')
+    (tmp_path / "one.txt").write_text("\n some text \n")
+    assert [tuple(r) for r in readers.read_samples(spark, str(tmp_path / "c.json")).collect()] == [("a", None, "t", ["x"])]
+    assert [tuple(r) for r in readers.read_samples(spark, str(tmp_path / "one.txt")).collect()] == [("one.txt", None, "some text", [])]
+    docs = spark.createDataFrame([(1, "<p>x</p>", "x"), (2, None, None)], "k int, html string, text string")
+    readers.write_documents(docs, str(tmp_path / "out"))
+    got = {r.k: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert (got[2].kind, got[2].text, got[2].html, got[2].payload) == ("plain", "", None, None) and got[1].kind == "rich" and b"<p>x</p>" in bytes(got[1].payload)
+    path = str(tmp_path / "s.toml")
+    assert readers.load_settings(path, "a = 1\n") == ({"a": 1}, None) and readers.load_settings(path, "a = 2\n")[0] == {"a": 1}
+
+
+def test_provider_notes_and_replies(spark, monkeypatch):
+    monkeypatch.setenv("SOME_KEY", "k")
+    none, some, env = providers.Remote("u", "m"), providers.Remote("u", "m", "key"), providers.Remote("u", "m", key_name="SOME_KEY")
+    assert (none.usable, some.usable, env.usable, providers.Remote("", "m", "k").usable) == (False, True, True, False)
+    assert providers.setup_note("remote", none, None, True).startswith("remote provider needs") and providers.setup_note("remote", some, "x", False) == "sending text to u"
+    assert providers.setup_note("off", none, "x", False) is None and providers.setup_note("local", none, "x", False) == "x" and providers.setup_note("local", none, None, True) is None
+    bodies = ['{"choices": [{"message": {"content": "hi"}}]}', '{"error": {"message": "no money"}, "choices": []}', '{"choices": []}', "nonsense", None, "{}"]
+    got = [tuple(r.r) for r in spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, b string").orderBy("i").select(providers.parse_reply(F.col("b")).alias("r")).collect()]
+    assert got == [("hi", None), (None, "no money"), (None, "the reply contained no content"), (None, "unreadable reply"), (None, "unreadable reply"), (None, "the reply contained no content")]
+
+
 def test_settings():
     base = 'a = 1\n[t]\nb = "x"\n'
     assert readers.overlay(base, '[t]\nb = "y"')[0] == {"a": 1, "t": {"b": "y"}}
