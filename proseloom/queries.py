@@ -348,21 +348,36 @@ def changed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.changed_only(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type")
 
 
-def current_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark rows as events of a session: a start when a rewrite began, a result when it was logged; late ones are dropped."""
+def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(session, id, run, b, e): benchmark rows as jobs of a session, when each began and when its result was logged, in microseconds."""
     rows = _bench(spark, sf_dir, "ms", "logged_at", "finished_at").where("ms IS NOT NULL AND logged_at IS NOT NULL AND finished_at IS NOT NULL")
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    rows = rows.select(F.col("model").alias("session"), "id", "run", (micros("finished_at") - F.col("ms") * 1000).alias("b"), micros("logged_at").alias("e"))
-    rows = before(rows, ["session"], ["b", "id", "run"], F.lit(1).cast("long"), "_n", "sum").withColumn("job", F.coalesce("_n", F.lit(0).cast("long")) + 1)
-    events = rows.select("session", "job", F.concat("id", F.lit("/"), F.col("run").cast("string")).alias("payload"), F.explode(F.array(F.struct(F.lit("begin").alias("kind"), (F.col("b") * 2).alias("seq")), F.struct(F.lit("result").alias("kind"), (F.col("e") * 2 + 1).alias("seq")))).alias("x"))
-    out = jobs.current_results(events.select("session", "job", "payload", "x.kind", "x.seq"))
-    return out.select("session", "job", "payload")
+    return rows.select(F.col("model").alias("session"), "id", "run", (micros("finished_at") - F.col("ms") * 1000).alias("b"), micros("logged_at").alias("e"))
+
+
+def _events(rows: DataFrame, *keep: str) -> DataFrame:
+    """A begin and a result of each job, in the order of ``seq``."""
+    kinds = F.array(F.struct(F.lit("begin").alias("kind"), (F.col("b") * 2).alias("seq")), F.struct(F.lit("result").alias("kind"), (F.col("e") * 2 + 1).alias("seq")))
+    return rows.select("session", *keep, F.explode(kinds).alias("x")).select("session", *keep, "x.kind", "x.seq")
+
+
+def current_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark rows as events of a session: a start when a rewrite began, a result when it was logged; late ones are dropped."""
+    rows = before(_jobs(spark, sf_dir), ["session"], ["b", "id", "run"], F.lit(1).cast("long"), "_n", "sum")
+    rows = rows.withColumn("job", F.coalesce("_n", F.lit(0).cast("long")) + 1).withColumn("payload", F.concat("id", F.lit("/"), F.col("run").cast("string")))
+    return jobs.current_results(_events(rows, "job", "payload")).select("session", "job", "payload")
+
+
+def jobs_in_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After each start and each result of a session, the jobs that run."""
+    out = jobs.in_flight(_events(_jobs(spark, sf_dir), "id", "run"), order=["seq", "id", "run"])
+    return out.select("session", "id", "run", "kind", "running")
 
 
 _NAMES = [
     doc_word_count, vocab_hits_by_tier, phrase_hits, regex_findings, findings, finding_scores, tier_gates, finding_checklists, cleaned, cleaned_documents, dash_counts, fact_kinds, protected_docs, protect_roundtrip, restored_texts, restore_violations,
     chunk_sizes, too_long_docs, answer_gates, kept_paragraphs, answer_decisions, prompt_targets, latest_bench_rows, latest_docs, model_rollup, rejection_reasons, sample_means, model_tells, surviving_tells, corpus_totals, probe_totals, busy_islands,
-    page_shapes, shape_losses, previews, word_diffs, payload_sizes, latest_job, idle_sessions, changed_events, current_results, goldens.goldens, goldens.rewrite_ends,
+    page_shapes, shape_losses, previews, word_diffs, payload_sizes, latest_job, idle_sessions, changed_events, current_results, jobs_in_flight, goldens.goldens, goldens.rewrite_ends,
 ]
 
 
@@ -534,6 +549,11 @@ def oracle_sql() -> dict[str, str]:
             s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
             SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, epoch_us(min(ts)) AS started FROM s GROUP BY user_id, session""",
         "changed_events": "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE before IS NULL OR before <> event_type",
+        "jobs_in_flight": f"""
+            WITH {_BENCH}, r AS (SELECT model AS session, id, run, epoch_us(finished_at) - ms * 1000 AS s, epoch_us(logged_at) AS e FROM b WHERE ms IS NOT NULL AND logged_at IS NOT NULL AND finished_at IS NOT NULL),
+            v AS (SELECT session, id, run, unnest(['begin', 'result']) AS kind, unnest([2 * s, 2 * e + 1]) AS seq, unnest([1, -1]) AS step FROM r),
+            t AS (SELECT *, sum(step) OVER w AS total FROM v WINDOW w AS (PARTITION BY session ORDER BY seq, id, run ROWS UNBOUNDED PRECEDING))
+            SELECT session, id, run, kind, CAST(total - least(min(total) OVER (PARTITION BY session ORDER BY seq, id, run ROWS UNBOUNDED PRECEDING), 0) AS BIGINT) AS running FROM t""",
         "current_results": f"""
             WITH {_BENCH}, r AS (SELECT model AS session, id, run, epoch_us(finished_at) - ms * 1000 AS s, epoch_us(logged_at) AS e FROM b WHERE ms IS NOT NULL AND logged_at IS NOT NULL AND finished_at IS NOT NULL),
             j AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY s, id, run) AS job FROM r)

@@ -65,12 +65,13 @@ def changed_only(events: DataFrame, key: str, order: str, value: str) -> DataFra
     return last.where(F.col("_b").isNull() | (F.col("_b.v") != F.col(value))).drop("_b")
 
 
-def in_flight(events: DataFrame, session: str = "session", order: str = "seq") -> DataFrame:
+def in_flight(events: DataFrame, session: str = "session", order: str | list[str] = "seq") -> DataFrame:
     """``events`` with the jobs that run after each: starts and ends, never below zero; an end without a start counts for nothing."""
     step = F.when(F.col("kind") == "begin", 1).when(F.col("kind") == "result", -1).otherwise(0)
-    rows = before(sliced(events, [session], [order]), [session], [order], step, "_sum", "sum")
+    order = [order] if isinstance(order, str) else order
+    rows = before(sliced(events, [session], order), [session], order, step, "_sum", "sum")
     rows = written(rows.withColumn("_sum", F.coalesce("_sum", F.lit(0)) + step), "in-flight")
-    rows = before(rows, [session], [order], F.col("_sum"), "_low", "min")
+    rows = before(rows, [session], order, F.col("_sum"), "_low", "min")
     # what was lost below zero so far
     lowest = F.least(F.coalesce("_low", F.lit(0)), F.col("_sum"), F.lit(0))
     return rows.withColumn("running", (F.col("_sum") - lowest).cast("long")).drop("_sum", "_low", "_slice", "_row")
