@@ -23,6 +23,9 @@ def commentary(before: Column, after: Column) -> Column:
     return reduce(lambda x, y: x | y, hits)
 
 
+# The messages of the gates below.
+
+
 def length_gate(before: Column, after: Column) -> Column:
     n, m = F.length(before), F.length(after)
     return (

@@ -87,6 +87,16 @@ def _drop_at_exit() -> None:
             pass
 
 
+def ship(spark: SparkSession) -> str:
+    """Sends this package to the executors of a cluster on which it is not installed; returns the archive's path on the driver."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="proseloom-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = shutil.make_archive(os.path.join(folder, "proseloom"), "zip", os.path.dirname(root), os.path.basename(root))
+    spark.sparkContext.addPyFile(archive)
+    return archive
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

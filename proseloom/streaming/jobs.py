@@ -65,6 +65,32 @@ def changed_only(events: DataFrame, key: str, order: str, value: str) -> DataFra
     return last.where(F.col("_b").isNull() | (F.col("_b.v") != F.col(value))).drop("_b")
 
 
+CHANGE_STATE = "last long, held string"
+
+
+def changed_stream(events: DataFrame, key: str, order: str, value: str, own: str | None = None) -> DataFrame:
+    """(key, seq, value) of a stream's events whose value is another than the one before, with the last one as state.
+
+    Events with a number that was passed change nothing; those marked in ``own`` are known already and are not given out.
+    """
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, held = state.get if state.exists else (-1, None)
+        out = []
+        for r in pd.concat(list(batches)).sort_values("seq", kind="stable").itertuples():
+            if r.seq <= last:
+                continue
+            if not r.own and r.value != held:
+                out.append((k[0], int(r.seq), r.value))
+            last, held = r.seq, r.value
+        state.update((int(last), held))
+        yield pd.DataFrame(out, columns=["key", "seq", "value"])
+
+    mine = (F.coalesce(F.col(own), F.lit(False)) if own else F.lit(False)).alias("own")
+    rows = events.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("seq"), F.col(value).cast("string").alias("value"), mine)
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, seq long, value string", CHANGE_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
 def in_flight(events: DataFrame, session: str = "session", order: str | list[str] = "seq") -> DataFrame:
     """``events`` with the jobs that run after each: starts and ends, never below zero; an end without a start counts for nothing."""
     step = F.when(F.col("kind") == "begin", 1).when(F.col("kind") == "result", -1).otherwise(0)

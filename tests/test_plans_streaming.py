@@ -162,6 +162,26 @@ def test_supersession_in_batch_and_stream(spark, tmp_path):
     assert sorted(r.payload for r in spark.table("current").collect()) == ["fine", "ok"]
 
 
+def test_changes_of_a_stream(spark, tmp_path):
+    kind = "k string, n long, v string, mine boolean"
+    parts = [[("a", 1, "x", None), ("a", 2, "x", None), ("a", 3, "y", True)], [("a", 3, "z", None), ("a", 4, "y", None), ("a", 5, "x", False), ("b", 1, "x", None)]]
+    (tmp_path / "in").mkdir()
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, kind).coalesce(1).write.parquet(str(tmp_path / f"p{i}"))
+        (own,) = (tmp_path / f"p{i}").glob("*.parquet")
+        os.utime(own.rename(tmp_path / "in" / f"{i}.parquet"), (1_700_000_000 + 100 * i,) * 2)
+    stream = jobs.changed_stream(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), "k", "n", "v", "mine")
+    q = stream.writeStream.format("memory").queryName("changes").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((r.key, r.seq, r.value) for r in spark.table("changes").collect()) == [("a", 1, "x"), ("a", 5, "x"), ("b", 1, "x")]
+
+
+def test_pauses_do_not_count_while_a_job_runs(spark):
+    ts = spark.createDataFrame([("k", "2024-01-01 00:00:00", 1), ("k", "2024-01-01 01:00:00", 0), ("k", "2024-01-01 02:00:00", 0)], "k string, t string, n int").withColumn("t", F.to_timestamp("t"))
+    assert sorted(r.n for r in jobs.idle_sessions(ts, "k", "t", 600, "n").collect()) == [1, 2]
+    assert sorted(r.n for r in jobs.idle_sessions(ts, "k", "t", 600).collect()) == [1, 1, 1]
+
+
 def test_event_rules(spark):
     df = spark.createDataFrame(EVENTS, KIND)
     assert sorted((r.session, r.job) for r in jobs.latest_job(df, ["session"], ["seq"]).collect()) == [("s", 2), ("t", 2)]

@@ -51,3 +51,10 @@ def test_entry_without_the_optional_subpackage(tmp_path):
     script = f"import sys; sys.path.insert(0, {root!r}); sys.modules['proseloom.llm.queries'] = None; import __spark_entry__ as e; print(len(e.queries()) >= 40, len(e.oracle_sql()) > 20)"
     out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, cwd=tmp_path, timeout=120)
     assert out.stdout.split() == ["True", "True"], out.stderr
+
+
+def test_the_package_can_be_shipped(spark):
+    import zipfile
+
+    names = zipfile.ZipFile(session.ship(spark)).namelist()
+    assert "proseloom/session.py" in names and "proseloom/operators/detect.py" in names
