@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proseloom.llm.boost import Boost, best_cut, folds, isotonic
-from proseloom.llm.lookalike import LIGATURES, mapping
+from proseloom.llm.lookalike import may_be_mapped, plain_characters
 from proseloom.session import written
 
 #: The most labelled rows the trees are fitted to, in the order of a hash of their keys; the trees, the same for held-out folds and for all rows.
@@ -54,8 +54,12 @@ QUANTILES = [0.2, 0.5, 0.8]
 FEATURES = [f"{m}_{q}" for m in MEASURES for q in ("mean", *QUANTILES)] + [
     "hard_share", "very_hard_share", "variety", "cohesion", "links", "log_sentences", "log_words", "deviation",
 ]
-_SOURCE, _TARGET = mapping()
-_PLAIN = {ord(c): (_TARGET[i] if i < len(_TARGET) else None) for i, c in enumerate(_SOURCE)} | {ord(a): b for a, b in LIGATURES} | {0x2019: "'"}
+#: All ASCII bytes but letters.
+_OTHERS = bytes(c for c in range(128) if not chr(c).isalpha())
+
+
+def letters_in(text: str) -> int:
+    return len(text.encode().translate(None, _OTHERS)) if text.isascii() else len(text) - len(LETTERS.sub("", text))
 
 
 @lru_cache(maxsize=200_000)
@@ -68,7 +72,7 @@ def word(w: str) -> tuple[int, int, bool, bool, bool, bool, bool, bool]:
 @lru_cache(maxsize=50_000)
 def sentence(text: str) -> tuple[tuple[float, ...], frozenset[str], int, int] | None:
     """The measures of an English sentence, its content words, connectives and words; a word count where it is not English."""
-    letters = len(text) - len(LETTERS.sub("", text))
+    letters = letters_in(text)
     if letters < LETTERS_SHARE * len(text):
         return (), frozenset(), 0, 0
     words = WORD.findall(text.lower())
@@ -90,7 +94,7 @@ def features(text: str | None) -> list[float] | None:
     if not text:
         return None
     if not text.isascii():
-        text = text.translate(_PLAIN)
+        text = (plain_characters(text) if may_be_mapped(text) else text).replace("\u2019", "'")
     rows, sets, links, english, other = [], [], 0, 0, 0
     for s in SENTENCE.split(text):
         if not s:

@@ -109,9 +109,18 @@ _MAPPED = re.compile("[" + re.escape("".join(c for c in _FORMS if c < "\U0001000
 ODD = rf"[A-Za-z][\u0370-\u04FF]|[\u0370-\u04FF][A-Za-z]|[{MARKS}\u0261\u2010\u2011{ranges(INVISIBLE + SPACES + ''.join(c for c in _FORMS if ord(c) > 0x13A0))}]"
 
 
+def may_be_mapped(text: str) -> bool:
+    return _MAPPED.search(text) is not None
+
+
+def plain_characters(text: str) -> str:
+    """The text with every character in the place of which a plain one is known replaced."""
+    return text.translate(_TO)
+
+
 def shown(text: str) -> str:
     """The text in plain, composed characters."""
-    return unicodedata.normalize("NFC", text.translate(_TO) if _MAPPED.search(text) else text)
+    return unicodedata.normalize("NFC", plain_characters(text) if may_be_mapped(text) else text)
 
 
 @F.udf(T.StringType(), useArrow=True)
