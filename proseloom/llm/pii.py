@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proseloom.llm.boost import Boost, best_cut
-from proseloom.llm.lookalike import LIGATURES, mapping
+from proseloom.llm.lookalike import LIGATURES, mapping, may_be_mapped
 from proseloom.session import written
 
 KINDS = ["email", "phone", "id_number", "address", "name"]
@@ -87,6 +87,7 @@ ADDRESS = [
     re.compile(rf"(?<![{_IN}])[{_UP}][{_LOW}]+(?:straße|strasse|str\.|weg|platz|allee|gasse|ufer)\s\d{{1,4}}[a-z]?(?:,?\s\d{{4,5}}\s{_CITY})?"),
 ]
 _TITLE = r"(?:(?:Dr|Mr|Mrs|Ms|Prof|Herr|Frau|Sr|Sra|Sig|Dott|Mme|M)\.?\s)?"
+_TITLED = re.compile(_TITLE + "$")
 NAME = [
     re.compile(_after(".@+-") + rf"(?=({_TITLE}(?:{_PART}|[{_UP}]\.)(?:\s[{_UP}]\.)?\s{_PARTICLE}{_PART})(?![{_IN}@]))"),
     re.compile(_after(".@+-") + rf"(?=({_PART},\s{_PART})(?![{_IN}@]))"),
@@ -125,6 +126,8 @@ def view(text: str) -> tuple[str, list[int] | None]:
     """The text in plain characters, and for each of them its offset in ``text`` (None: the same)."""
     if text.isascii():
         return text, None
+    if not may_be_mapped(text):
+        return text.replace("\u2019", "'").replace("\u3001", ",").replace("\u3002", "."), None
     if not _ODD.search(text):
         return text.translate(_ONE), None
     out, at = [], []
@@ -139,7 +142,8 @@ COMMON = frozenset(view(w)[0] for w in COMMON)
 
 
 #: Where an item may begin; the patterns themselves are only tried there.
-_CAPITAL, _NUMBER, _HOUSE = re.compile(f"[{_UP}]"), re.compile(r"[A-Z+(\d]"), re.compile(r"\d|(?:Flat|Apt|Apartment|Unit|Suite|Room|Floor)\b")
+# the set comes first, which lets a search skip; what stands before is looked at from behind it
+_CAPITAL, _NUMBER, _HOUSE = re.compile(f"[{_UP}](?<![0-9A-Za-z_@+-].)"), re.compile(r"[A-Z+(\d](?<![0-9A-Za-z_].)", re.DOTALL), re.compile(r"[\dFAUSR](?<![0-9A-Za-z_].)", re.DOTALL)
 _STREETS = re.compile(r"Calle|Via|Viale|Rua|Avenida|Av\.|Plaza|Piazza|Rue|Corso|ul\.|Praça")
 _GERMAN = re.compile(r"straße|strasse|str\.|weg|platz|allee|gasse|ufer")
 
@@ -189,40 +193,44 @@ def words_of(value: str) -> tuple[str, str]:
     return (parts[0].rstrip(".").lower(), parts[-1].lower()) if parts else ("", "")
 
 
+def _shared(plain: str, a: int, z: int) -> dict:
+    """What the features of a span are made of, whatever kind it is a candidate of."""
+    value, left, right = plain[a:z], plain[max(0, a - LEFT) : a], plain[z : z + RIGHT]
+    near, before = left[-NEAR:], left.rstrip()
+    groups = [len(g) for g in re.findall(r"\d+", value)]
+    digits, words = sum(groups), value.split()
+    upper = sum(map(str.isupper, value))
+    format = [
+        len(value), digits, sum(map(str.isalpha, value)), upper, len(groups), max(groups, default=0), *(groups + [0] * 6)[:6],
+        value.startswith("+"), "(" in value, value.count("-"), value.count("."), value.count(" "), value.count("/"), "ext" in value or "x" in value[-6:],
+    ]
+    ends = [value[-1:].isalpha() and digits > 0, bool(DATE.match(value)), value[:1] == "0"]
+    around = [
+        _class(left[-1:]), _class(right[:1]), before[-1:] in (":", ","), bool(before), bool(right.strip()),
+        bool(STREET.search(value)), bool(MONTH.search(value)), bool(MONEY.search(value)) or bool(MONEY.search(right[:5])) or before[-1:] in ("$", "€", "£"), bool(POSTAL.search(value)),
+        value.count(","), value.count("\n"), len(words), value[:1].isdigit(),
+    ]
+    context = near + right
+    rest = [bool(re.search(r"\b[A-Z]\.", value)), sum(w.strip(".,").lower() in COMMON for w in words[:4]), sum(map(str.isupper, context)) / (1 + sum(map(str.isalpha, context)))]
+    cues = {k: bool(c.search(near)) for k, c in _CUES.items()}
+    return {"value": value, "left": left, "words": words, "format": format, "ends": ends, "around": around, "rest": rest, "cues": cues, "reference": bool(REFERENCE.search(near)), "head": re.match(r"[A-Z]*", value).end()}
+
+
 def measure(plain: str, kind: str, a: int, z: int, known: dict | None = None) -> list[float]:
     """The features of a candidate; the last ones are for the corpus' counts of a name's words.
 
-    ``known`` keeps what candidates of one text that begin or stand at one place have in common.
+    ``known`` keeps what candidates of one span of a text have in common.
     """
     known = {} if known is None else known
-    value, left, right = plain[a:z], plain[max(0, a - LEFT) : a], plain[z : z + RIGHT]
-    near = left[-NEAR:]
-    cues = known.get(a)
-    if cues is None:
-        cues = known[a] = {k: bool(c.search(near)) for k, c in _CUES.items()} | {"reference": bool(REFERENCE.search(near))}
-    words_in = known.get((a, z))
-    if words_in is None:
-        money = bool(MONEY.search(value)) or bool(MONEY.search(right[:5])) or left.rstrip()[-1:] in ("$", "€", "£")
-        words_in = known[a, z] = (bool(STREET.search(value)), bool(MONTH.search(value)), money, bool(POSTAL.search(value)))
-    groups = [len(g) for g in re.findall(r"\d+", value)]
-    letters = sum(c.isalpha() for c in value)
-    digits = sum(groups)
-    g = (groups + [0] * 6)[:6]
-    first, last = words_of(value) if kind == "name" else ("", "")
-    words = value.split()
-    domain = re.split(r"@|at[)\]}]", value, maxsplit=1, flags=re.IGNORECASE)[-1] if kind == "email" else ""
-    dots = len(re.findall(r"\.|dot", domain, re.IGNORECASE))
-    head = re.match(r"[A-Z]*", value).end()
+    s = known.get((a, z))
+    if s is None:
+        s = known[a, z] = _shared(plain, a, z)
+    domain = re.split(r"@|at[)\]}]", s["value"], maxsplit=1, flags=re.IGNORECASE)[-1] if kind == "email" else ""
+    title = kind == "name" and bool(s["words"]) and bool(_TITLED.match(s["words"][0] + " "))
     out = [
-        len(value), digits, letters, sum(c.isupper() for c in value), len(groups), max(groups, default=0), *g,
-        value.startswith("+"), "(" in value, value.count("-"), value.count("."), value.count(" "), value.count("/"), "ext" in value or "x" in value[-6:],
-        head if not kind == "name" else 0, value[-1:].isalpha() and digits > 0, bool(DATE.match(value)), value[:1] == "0",
-        bool(_CUES[kind].search(left)), cues[kind], sum(cues[k] for k in KINDS if k != kind), cues["reference"],
-        _class(left[-1:]), _class(right[:1]), left.rstrip()[-1:] in (":", ","), bool(left.strip()), bool(right.strip()),
-        *words_in,
-        value.count(","), value.count("\n"), len(words), value[:1].isdigit(), dots, len(domain) - domain.rfind(".") - 1 if domain else 0,
-        bool(re.match(_TITLE + "$", words[0] + " ")) if kind == "name" and words else 0, bool(re.search(r"\b[A-Z]\.", value)),
-        sum(w.strip(".,").lower() in COMMON for w in words[:4]), sum(c.isupper() for c in near + right) / (1 + sum(c.isalpha() for c in near + right)),
+        *s["format"], 0 if kind == "name" else s["head"], *s["ends"],
+        bool(_CUES[kind].search(s["left"])), s["cues"][kind], sum(s["cues"].values()) - s["cues"][kind], s["reference"], *s["around"],
+        len(re.findall(r"\.|dot", domain, re.IGNORECASE)) if domain else 0, len(domain) - domain.rfind(".") - 1 if domain else 0, title, *s["rest"],
     ]
     if len(out) != OWN:
         raise AssertionError(f"{len(out)} features")
