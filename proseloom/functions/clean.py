@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,13 @@ def _either_case(literal: str) -> str:
     return "".join(f"[{c.upper()}{c.lower()}]" if c.isascii() and c.isalpha() else re.escape(c) for c in literal)
 
 
+@lru_cache(maxsize=8)
+def _some(phrases: tuple[Phrase, ...]) -> re.Pattern[str]:
+    """Found in every text that holds a phrase with a replacement; a place is left after a character or two, unlike with the pattern of all phrases."""
+    own = [p.match for p in phrases if p.fix is not None and p.match]
+    return re.compile(starts(own, True) + trie(own, True))
+
+
 @dataclass(frozen=True)
 class Cleaner:
     phrases: tuple[Phrase, ...]
@@ -42,7 +50,7 @@ class Cleaner:
     def clean(self, text: str, pattern: re.Pattern[str] | None = None) -> tuple[str, int]:
         pattern = pattern or self.pattern()
         fixes, out = 0, text
-        if pattern is not None:
+        if pattern is not None and _some(self.phrases).search(text):
             own = [p for p in self.phrases if p.fix is not None and p.match]
             out, at = "", 0
             while m := pattern.search(text, at):
