@@ -372,12 +372,12 @@ def examples(n: int, seed: int) -> dict[str, Examples]:
             text += item + ("" if bare else str(rng.choice(_FILL["after"])))
             if bare:
                 break
-        plain = view(text)[0]
+        plain, known = view(text)[0], {}
         for kind, a, z in propose(plain):
             near, which = max((((min(z, e) - max(a, s)) / (max(z, e) - min(a, s)), i) for k, s, e, i in gold if k == kind), default=(0.0, -1))
             if 0.5 < near < 0.85:
                 continue
-            truth, x = near >= 0.85, measure(plain, kind, a, z)
+            truth, x = near >= 0.85, measure(plain, kind, a, z, known)
             if kind == "name":
                 x[-COUNTS:] = _counts(rng, truth, words_of(plain[a:z]))
             rows[kind].append((x, truth, which if truth else -1))
